@@ -35,7 +35,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", car
     while True:
         # A group is named by the bytes that its texts share so far: its parent's name and one more digit.
         cut = left.withColumn("name", F.substring("body", 1, reach))
-        groups = cut.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where("n > 1")
+        # Written, so that the join reads both sides from a shuffle of their own: only such a join can be split by size.
+        groups = written(cut.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where("n > 1"), "radix-groups")
         ended = F.col("n").isNull() | (F.length("body") < reach)
         out = written(
             cut.join(groups, "name", "left").select("id", "sha", "row", F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top")).alias("top"), ended.alias("ended"), F.when(~ended, F.col("body")).alias("body")),
