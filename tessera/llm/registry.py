@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, factorisation, mixing, packing, quality_rules, secret_scan, sharding, simhash
+from . import chat_format, exact_dedup, factorisation, line_dedup, mixing, packing, quality_rules, secret_scan, sharding, simhash
 
-_MODULES = (quality_rules, factorisation, packing, sharding, chat_format, secret_scan, mixing, exact_dedup, simhash)
+_MODULES = (quality_rules, factorisation, packing, line_dedup, sharding, chat_format, secret_scan, mixing, exact_dedup, simhash)
 
 
 def queries() -> dict:
