@@ -116,13 +116,13 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[fl
     """EM for a hidden good/bad label: share of good, then each rule's log odds for a good vote, a bad vote, none.
 
     patterns: one row per vote pattern; counts: how many documents have it. Each rule has, for good
-    and for bad documents, its chances to vote good, bad and to abstain. Counts of one imagined
-    document per cell keep chances off 0 and 1, and tell the two labels apart: rules are right at first.
+    and for bad documents, its chances to vote good, bad and to abstain. A few imagined
+    documents keep chances off 0 and 1, and tell the two labels apart: rules are right at first.
     """
     n_rules = patterns.shape[1]
     prior = np.empty((2, n_rules, 3))
-    prior[0] = [2.0, 0.5, 0.5]  # imagined votes on bad documents: bad, abstain, good
-    prior[1] = [0.2, 0.8, 4.0]
+    prior[0] = [2.0, 1.0, 2.0]  # imagined votes on bad documents (bad in one way, good in others): bad, abstain, good
+    prior[1] = [0.02, 0.5, 5.0]
     hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
     good, chance = 0.8, prior / prior.sum(axis=2, keepdims=True)
     for _ in range(rounds):
