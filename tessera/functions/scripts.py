@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textnorm import strip_accents
 
@@ -75,7 +76,7 @@ def _romanized(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield words.map(romanize)
 
 
-romanize_udf = F.pandas_udf(_romanized, "string")
+romanize_udf = F.pandas_udf(_romanized, T.StringType())
 
 
 def translate_names(df: DataFrame, dictionary: DataFrame, key: str = "entity_id", name: str = "business_name", out: str = "rendered") -> DataFrame:
