@@ -27,7 +27,8 @@ def top_k(scores: DataFrame, score: str, by: str, k: int, name: str, min_score:
     """s1, t and name (the rank from 0) of each group's best k above min_score; ties go to the lower id."""
     other = "t" if by == "s1" else "s1"
     order = Window.partitionBy(by).orderBy(F.round(F.col(score), DIGITS).desc(), other)
-    return scores.where(F.col(score) > min_score).withColumn(name, F.row_number().over(order) - 1).where(F.col(name) < k).select("s1", "t", name)
+    # The filter is on the bare number: only then are groups cut to k before the shuffle too.
+    return scores.where(F.col(score) > min_score).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).select("s1", "t", (F.col("__r") - 1).alias(name))
 
 
 def channel_scores(s1: DataFrame, targets: DataFrame) -> DataFrame:
