@@ -23,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, table, text_bytes, tokenizer_path, worker_cache, written
+from .common import arrow_batches, table, text_of, tokenizer_path, worker_cache, written
 
 CAPACITY, CLOSING_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Entries in a worker's tables of known stretches and of words; a full table is emptied.
-CACHED_STRETCHES, CACHED_WORDS = 300_000, 300_000
+CACHED_STRETCHES, CACHED_WORDS = 600_000, 600_000
 #: Letters that the vocabulary's rules turn to lower case one by one and keep together, then marks that they keep together.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -49,7 +50,7 @@ BYTE_SIGNS = _byte_signs()
 PIECES = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("task", T.IntegerType()), ("place", T.LongType()))])
 
 
-def _stretch_ids(stretches: list[bytes], tokenizer) -> dict[bytes, bytes]:
+def _stretch_ids(stretches: list[bytes], tokenizer) -> list[bytes]:
     """The ids of stretches of text without white space. Plain words go to the vocabulary's merges directly, all others through all its rules."""
     words, merge = worker_cache("words"), tokenizer.model.tokenize
     if len(words) > CACHED_WORDS:
@@ -60,41 +61,54 @@ def _stretch_ids(stretches: list[bytes], tokenizer) -> dict[bytes, bytes]:
             found = words[w] = array("I", [t.id for t in merge(w if w.isascii() else "".join(BYTE_SIGNS[b] for b in w.encode()))]).tobytes()
         return found
 
-    out, others = {}, []
+    out, others = [], []
     for stretch in stretches:
         text = stretch.decode("utf-8", "replace")
-        if (m := PLAIN.fullmatch(text)) is not None:
-            out[stretch] = word(m[1].lower()) + word(m[2]) if m[2] else word(m[1].lower())
+        if text.isalpha() and text.isascii():
+            out.append(word(text.lower()))
+        elif (m := PLAIN.fullmatch(text)) is not None:
+            out.append(word(m[1].lower()) + word(m[2]) if m[2] else word(m[1].lower()))
         else:
-            others.append((stretch, text))
+            others.append((len(out), text))
+            out.append(b"")
     for at in range(0, len(others), 4096):
         some = others[at : at + 4096]
         made = tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-        out.update((s, np.array(e.ids, "<u4").tobytes()) for (s, _), e in zip(some, made, strict=True))
+        for (k, _), e in zip(some, made, strict=True):
+            out[k] = np.array(e.ids, "<u4").tobytes()
     return out
 
 
-def encode(texts: list[bytes], tokenizer) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers, without special tokens added.
+def encode(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after another, where each text's begin and the last end), without special tokens added.
 
     The vocabulary's rules never join what white space separates, so ids are looked up by the
-    stretches between it. Needs a vocabulary that drops white space, as word_bpe_49k.json does.
+    stretches between it, once for each different stretch of the batch. Needs a vocabulary that
+    drops white space, as word_bpe_49k.json does. texts: UTF-8 strings without nulls.
     """
     known: dict[bytes, bytes] = worker_cache("ids")
-    parts = [t.split() for t in texts]
-    every = set().union(*parts)
-    unknown = every.difference(known)
+    parts = pc.ascii_split_whitespace(texts)
+    coded = parts.flatten().dictionary_encode()
+    every = coded.dictionary.view(pa.binary()).to_pylist()
+    unknown = [w for w in every if w not in known]
     if len(known) + len(unknown) > CACHED_STRETCHES:
         known.clear()
         unknown = every
-    known.update(_stretch_ids([*unknown], tokenizer))
-    return [b"".join(map(known.__getitem__, p)) for p in parts]
+    known.update(zip(unknown, _stretch_ids(unknown, tokenizer), strict=True))
+    own = [known[w] for w in every]
+    ends = np.zeros(len(own) + 1, np.int64)
+    np.cumsum([len(x) // 4 for x in own], out=ends[1:])
+    lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), "<u4")))
+    taken = lists.take(coded.indices)
+    # Ids before each stretch, at the places where texts begin.
+    before = np.concatenate(([0], np.cumsum((ends[1:] - ends[:-1])[coded.indices.to_numpy()])))
+    return taken.flatten().to_numpy(), before[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
 
 
 def tokenized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, closing_id: int = CLOSING_ID, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """A row per piece: PIECES, and the ids themselves if asked. place counts pieces of equal length within their task."""
     arrow_batches(docs.sparkSession)
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_bytes(text).alias("body"))
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(text).alias("body"))
     closing = np.array([closing_id], "<u4").tobytes()
     step = 4 * capacity
 
@@ -109,10 +123,10 @@ def tokenized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capac
             tools[vocabulary] = Tokenizer.from_file(tokenizer_path(vocabulary))
         task, places = TaskContext.get().partitionId(), {}
         for b in batches:
-            ids = encode(b.column("body").to_pylist(), tools[vocabulary])
+            ids, begin = encode(b.column("body"), tools[vocabulary])
             rows = []
-            for doc, own in zip(b.column("doc_id").to_pylist(), ids, strict=True):
-                own += closing
+            for doc, first, end in zip(b.column("doc_id").to_pylist(), begin[:-1], begin[1:], strict=True):
+                own = ids[first:end].tobytes() + closing
                 for k, at in enumerate(range(0, len(own), step)):
                     cut = own[at : at + step]
                     length = len(cut) // 4
