@@ -31,20 +31,20 @@ def top_k(scores: DataFrame, score: str, by: str, k: int, name: str, min_score:
     return scores.where(F.col(score) > min_score).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).select("s1", "t", (F.col("__r") - 1).alias(name))
 
 
-def channel_scores(s1: DataFrame, targets: DataFrame) -> DataFrame:
-    """s1, t, name_cos, addr_cos, blend of every pair within a block that shares a feature."""
+def channel_scores(s1: DataFrame, targets: DataFrame, save=lambda df, name: df) -> DataFrame:
+    """s1, t, name_cos, addr_cos, blend of every pair within a block that shares a feature. save may write the weights, which both sides of a join read."""
     records = s1.where("block <> ''").unionByName(targets.where("block <> ''"), allowMissingColumns=True)
     corpus = ["country", "block"]
-    names = pair_scores(tfidf(records, trigrams(F.col("name_nospace")), corpus), corpus, "name_cos")
-    addresses = pair_scores(tfidf(records, address_features(F.col("addr"), F.col("addr_nums")), corpus), corpus, "addr_cos")
+    names = pair_scores(save(tfidf(records, trigrams(F.col("name_nospace")), corpus), "weights"), corpus, "name_cos")
+    addresses = pair_scores(save(tfidf(records, address_features(F.col("addr"), F.col("addr_nums")), corpus), "weights"), corpus, "addr_cos")
     both = names.join(addresses, ["s1", "t"], "full").select("s1", "t", F.coalesce("name_cos", F.lit(0.0)).alias("name_cos"), F.coalesce("addr_cos", F.lit(0.0)).alias("addr_cos"))
     return both.withColumn("blend", NAME_SHARE * F.col("name_cos") + (1 - NAME_SHARE) * F.col("addr_cos"))
 
 
-def fallback_scores(s1: DataFrame, targets: DataFrame) -> DataFrame:
+def fallback_scores(s1: DataFrame, targets: DataFrame, save=lambda df, name: df) -> DataFrame:
     """s1, t, name_cos of targets without a block against all S1 records of their country."""
     records = s1.unionByName(targets.where("block = ''"), allowMissingColumns=True)
-    return pair_scores(tfidf(records, trigrams(F.col("name_nospace")), ["country"]), ["country"], "name_cos")
+    return pair_scores(save(tfidf(records, trigrams(F.col("name_nospace")), ["country"]), "weights"), ["country"], "name_cos")
 
 
 def merged(lists: list[DataFrame], names: list[str]) -> DataFrame:
@@ -62,9 +62,9 @@ RANKS = [f"{c}_{d}" for c in CHANNELS for d in ("fwd", "rev")]
 
 def retrieve(s1: DataFrame, targets: DataFrame, save=lambda df, name: df) -> DataFrame:
     """s1, t, the six ranks, name_cos, addr_cos (null in the fallback), same_block. save may write the pair scores, which are read seven times."""
-    scores = save(channel_scores(s1, targets), "scores")
+    scores = save(channel_scores(s1, targets, save), "scores")
     lists = [top_k(scores, col, "s1", FORWARD[c], f"{c}_fwd") for c, col in CHANNELS.items()] + [top_k(scores, col, "t", REVERSE[c], f"{c}_rev") for c, col in CHANNELS.items()]
     same = merged(lists, RANKS).join(scores.select("s1", "t", "name_cos", "addr_cos"), ["s1", "t"]).withColumn("same_block", F.lit(True))
-    lost = save(fallback_scores(s1, targets), "fallback")
+    lost = save(fallback_scores(s1, targets, save), "fallback")
     best = merged([top_k(lost, "name_cos", "t", FALLBACK_REVERSE["name"], "name_rev")], RANKS).join(lost, ["s1", "t"]).withColumn("same_block", F.lit(False))
     return same.unionByName(best, allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Features in more than this share of a block's records, and more than so many of them, are left out.
@@ -35,5 +35,6 @@ def tfidf(records: DataFrame, features: Column, corpus: list[str], max_share: fl
     cap = F.greatest(F.floor(F.lit(max_share) * F.col("n")), F.lit(cap_floor))
     idf = df.where((F.col("df") >= 2) & (F.col("df") <= cap)).select(*corpus, "f", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(idf, [*corpus, "f"]).select(*corpus, "entity_id", "f", ((1 + F.log("tf")) * F.col("idf")).alias("v"))
-    norm = raw.groupBy(*corpus, "entity_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return raw.join(norm, [*corpus, "entity_id"]).select(*corpus, "entity_id", "f", (F.col("v") / F.col("norm")).alias("w"))
+    # A record's features are few: a window over them needs one shuffle where a join back would compute them twice.
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*corpus, "entity_id")))
+    return raw.select(*corpus, "entity_id", "f", (F.col("v") / norm).alias("w"))

@@ -43,7 +43,8 @@ UNROUNDED = "entity_id, country, src, is_native, is_domain, name_full, name_alt,
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return linkage.with_blocks(saved(norm(spark, d), "records"))
+    s1, targets = linkage.with_blocks(saved(norm(spark, d), "records"))
+    return s1, saved(targets, "targets")
 
 
 def scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -246,7 +247,7 @@ def _top(channel: str) -> None:
     col = retrieve.CHANNELS[channel]
 
     def run(spark, d):
-        scores = saved(retrieve.channel_scores(*sides(spark, d)), "scores")
+        scores = saved(retrieve.channel_scores(*sides(spark, d), saved), "scores")
         forward = retrieve.top_k(scores, col, "s1", retrieve.FORWARD[channel], "fwd")
         back = retrieve.top_k(scores, col, "t", retrieve.REVERSE[channel], "rev")
         return retrieve.merged([forward, back], ["fwd", "rev"]).join(scores.select("s1", "t", *r(col)), ["s1", "t"])
@@ -262,7 +263,7 @@ for _c in retrieve.CHANNELS:
 
 @query(f"WITH {duck.FALLBACK.format(before=duck.BLOCKS)} SELECT s1, t, r::INT AS name_rev, {rs('name_cos')} FROM ({duck.top('lost_s', 'name_cos', 't', 2, 'r')}) JOIN lost_s USING (s1, t)")
 def fallback_retrieval(spark, d):
-    lost = saved(retrieve.fallback_scores(*sides(spark, d)), "fallback")
+    lost = saved(retrieve.fallback_scores(*sides(spark, d), saved), "fallback")
     return retrieve.top_k(lost, "name_cos", "t", 2, "name_rev").join(lost, ["s1", "t"]).select("s1", "t", "name_rev", *r("name_cos"))
 
 
