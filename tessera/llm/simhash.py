@@ -95,6 +95,16 @@ def partitions(bits: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
+def _within(bits: np.ndarray, reach: int) -> list[float]:
+    """The chance that two fingerprints differ in at most 0, 1, ... of these bits, were the bits independent."""
+    p = bits.mean(axis=0) if len(bits) else np.full(bits.shape[1], 0.5)
+    exactly = np.zeros(reach + 1)
+    exactly[0] = 1.0
+    for differ in 2 * p * (1 - p):
+        exactly = exactly * (1 - differ) + np.concatenate(([0.0], exactly[:-1])) * differ
+    return np.cumsum(exactly).tolist()
+
+
 def masks(width_bits: list[int], upto: int) -> list[int]:
     """All ways to flip at most upto of these bits, as signed 64-bit masks."""
     found = [sum(1 << b for b in some) for k in range(upto + 1) for some in combinations(width_bits, k)]
@@ -108,7 +118,7 @@ def allocate(sample: np.ndarray, n: int, reach: int = REACH, most: int = 4, pair
     the partitions seen so far.
     """
     bits = np.unpackbits(sample.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
-    some = sample[: max(1, 4_000_000 // max(1, len(sample)))]
+    some = sample[: max(1, 4_000_000 // max(1, len(sample)))]  # a few against all
     winner: tuple[list[tuple[list[int], int]], float] | None = None
     for m in range(1, most + 1):
         groups = partitions(bits, m)
@@ -117,10 +127,12 @@ def allocate(sample: np.ndarray, n: int, reach: int = REACH, most: int = 4, pair
             mask = np.uint64(sum(1 << b for b in group))
             apart = np.bitwise_count((some[:, None] ^ sample[None, :]) & mask) if len(sample) else np.zeros((1, 1))
             pairs = max(1, some.size * sample.size - some.size)
+            chance = _within(bits[:, group], reach)
             following: dict[int, tuple[float, list[int]]] = {}
             for t in range(-1, reach + 1):
-                near = max(0, int((apart <= t).sum()) - some.size) + 0.5
-                cost = 0.0 if t < 0 else probe_cost * n * sum(math.comb(len(group), k) for k in range(t + 1)) + pair_cost * n * n / 2 * near / pairs
+                # Seen in the sample, or where that is too small to see it, as if bits were independent.
+                near = max((int((apart <= t).sum()) - some.size) / pairs, chance[t]) if t >= 0 else 0.0
+                cost = 0.0 if t < 0 else probe_cost * n * sum(math.comb(len(group), k) for k in range(t + 1)) + pair_cost * n * n / 2 * near
                 for s, (c, chosen) in best.items():
                     if s + t not in following or c + cost < following[s + t][0]:
                         following[s + t] = (c + cost, [*chosen, t])
