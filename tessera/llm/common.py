@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import sys
 import tempfile
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: White space in every contract: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes in one Arrow batch; texts may be very long, so batches are small.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
@@ -37,16 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    kept = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # nothing reads this plan's shuffle files again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def discard(df: DataFrame) -> None:
     """Delete a table made by written() that nothing reads any more."""
     spark = df.sparkSession

@@ -2,14 +2,18 @@
 
 A line is the set of its lower-case words. A line goes if an earlier line, by doc_id and place in the
 text, has a set whose Jaccard similarity is at least 0.8. Lines with equal sets are one class, known
-by its first line; all others of the class go. Classes of at least five words (smaller ones match
+by its first line; all others of the class go. Classes of at least four words (smaller ones match
 only equal sets) are joined:
 
 - order: words from rare to frequent, by counts over all words of all lines. Counts are kept for
-  65,536 hash buckets of words, a size that does not grow; words of a bucket go by their bytes.
-- prefix: two sets this similar share one of the first n - ceil(0.8 n) + 1 words of both.
-- position and length: a pair is only looked at if the words after the shared one can still suffice.
+  2**20 hash buckets of words, a size that does not grow; words of equal count go by their bytes.
+- prefix: two sets this similar share at least three of the first n - ceil(0.8 n) + 3 words of both.
+- position and length: a shared word only counts if the words from it on, and two before, can suffice.
 - verify: the similarity of the pairs that are left is computed from their words.
+
+Whether a line goes depends on whether any earlier one matches, so many alike are not paired up: a
+first round compares each class only with the earliest of each size under each of its words, and
+what it removes takes no part, as the later line, in the second round over all that are left.
 """
 
 from __future__ import annotations
@@ -17,100 +21,134 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import released, table, text_of, written
+from .common import table, text_of, written
 
-SIMILARITY_PERCENT, BUCKETS = 80, 1 << 16
-LOWEST = -(1 << 63)
+SIMILARITY_PERCENT, BUCKETS, GROUP = 80, 1 << 20, 1 << 10
+#: Words that prefixes must share. Sets that match share at least four.
+SHARED = 3
+LOWEST, LINES = -(1 << 63), 1 << 31
+#: The sign of words seen 128 times: those from it on are joined size by size.
+OFTEN = chr(33 + 15)
 
 
-def line_words(line: Column) -> Column:
-    """The different words of a line."""
-    return F.array_distinct(F.filter(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), lambda w: w != ""))
+def plain(docs: DataFrame, text: str, *more: Column) -> DataFrame:
+    """body, the text in lower case with spaces for the other white space within lines, and more columns."""
+    low = docs.select(F.lower(text_of(text)).alias("body"), *more)
+    other = F.contains("body", F.lit("\t")) | F.contains("body", F.lit("\r")) | F.contains("body", F.lit("\x0b")) | F.contains("body", F.lit("\x0c"))
+    return low.withColumn("body", F.when(other, F.translate("body", "\t\x0b\x0c\r", "    ")).otherwise(F.col("body")))
 
 
-def lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, line (from 0), words of every line that has a word."""
-    per = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)).alias("doc_id"), F.posexplode(F.split(F.lower(text_of(text)), "\n")).alias("line", "body"))
-    return per.select("doc_id", "line", line_words(F.col("body")).alias("words")).where(F.size("words") > 0)
+def words_of(line: Column) -> Column:
+    """The words of a plain line."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """An array: for each bucket a sign that sorts as its count does, in half powers of two. 65,536 counts come to the driver, never more."""
-    words = docs.select(F.explode(F.split(F.translate(F.lower(text_of(text)), "\t\x0b\x0c\r\n", "     "), " ")).alias("w")).where("w <> ''")
-    counted = words.groupBy(bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    signs = ["!"] * BUCKETS
-    for r in counted:
-        signs[r.b] = chr(33 + min(93, (r.n * r.n).bit_length()))
-    return F.split(F.lit("".join(signs)), "")
+    """A byte for each bucket that sorts as its count does, in half powers of two from 2 on. A million bytes come to the driver, never more."""
+    words = plain(docs, text).select(F.explode(F.split(F.replace("body", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counted = words.groupBy(bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.least(F.lit(93), F.floor(2 * F.log2("n")) + 1).cast("int")
+    entry = F.concat(F.lpad(F.hex(F.col("b") % GROUP), 3, "0"), F.chr(level + 33))
+    packed = counted.groupBy(F.floor(F.col("b") / GROUP).cast("int").alias("g")).agg(F.array_join(F.collect_list(entry), "").alias("all")).collect()
+    signs = bytearray(b"!" * BUCKETS)
+    for r in packed:
+        for i in range(0, len(r["all"]), 4):
+            signs[r.g * GROUP + int(r["all"][i : i + 3], 16)] = ord(r["all"][i + 3])
+    return F.lit(bytes(signs))
+
+
+def position() -> Column:
+    """doc_id and line as one number: minima of numbers are kept in a hash table, those of structs would be sorted."""
+    return (F.col("id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(10,0)") + F.col("line")).cast("decimal(38,0)")
+
+
+def from_position() -> list[Column]:
+    scale = F.lit(LINES).cast("decimal(10,0)")
+    line = F.pmod("pos", scale)
+    return [((F.col("pos") - line) / scale).cast("long").alias("id"), line.cast("int").alias("line")]
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """class, words (from rare to frequent, each after its sign, joined), n, pos (doc_id and line of the first line as one number)."""
+    """id, line (of the first line, which name the class), words (from rare to frequent, each after its sign, joined), n."""
     signs = rarity(docs, text)
-    # Folded once, when the plan is made.
-    ordered = F.array_join(F.sort_array(F.transform("words", lambda w: F.concat(F.get(signs, bucket(w)), w))), " ")
-    pos = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")
-    keyed = lines(docs, text, doc_id).select(ordered.alias("words"), F.size("words").alias("n"), pos.cast("decimal(38,0)").alias("pos"))
-    firsts = keyed.groupBy("words").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
-    return written(firsts.select(F.monotonically_increasing_id().alias("class"), "words", "n", "pos"), "line-classes")
+    lines = plain(docs, text, F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)).alias("id")).select("id", F.posexplode(F.split("body", "\n")).alias("line", "body")).where("trim(body) <> ''")
+    signed = F.sort_array(F.transform(F.array_distinct(words_of(F.col("body"))), lambda w: F.concat(F.substring(signs, bucket(w) + 1, F.lit(1)).cast("string"), w)))
+    firsts = lines.select(F.array_join(signed, " ").alias("words"), position().alias("pos")).groupBy("words").agg(F.min("pos").alias("pos"))
+    size = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
+    return written(firsts.select(*from_position(), "words", size.alias("n")), "line-classes")
 
 
-def least_common(n: Column, m: Column) -> Column:
+def prefixes(found: DataFrame) -> DataFrame:
+    """id, line, n, at (place from 0), word (hash), often of the prefix of every class of at least four words. Words seen once match nothing."""
+    prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY_PERCENT) / 100 - 1e-9) + SHARED).cast("int")
+    index = found.where("n >= 4").select("id", "line", "n", F.posexplode(F.split(F.call_function("substring_index", F.col("words"), F.lit(" "), prefix), " ")).alias("at", "w"))
+    return index.where(F.substring("w", 1, 1) != F.lit(chr(34))).select("id", "line", "n", "at", F.xxhash64("w").alias("word"), (F.substring("w", 1, 1) >= OFTEN).alias("often"))
+
+
+def needed(n: Column, m: Column) -> Column:
     """Words that sets of n and m words must share."""
     return F.ceil((n + m) * F.lit(SIMILARITY_PERCENT) / F.lit(100 + SIMILARITY_PERCENT) - 1e-9)
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """a, b: pairs of different classes, a the earlier, that pass the filters."""
-    size = F.col("n")
-    prefix = (size - F.ceil(size * F.lit(SIMILARITY_PERCENT) / 100 - 1e-9) + 1).cast("int")
-    index = found.where("n >= 5").select("class", "n", "pos", F.posexplode(F.slice(F.split("words", " "), F.lit(1), prefix)).alias("at", "word"))
-    index = index.select("class", "n", "pos", "at", F.xxhash64("word").alias("word"))
-    a, b = index.alias("a"), index.alias("b")
+def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """a_id, a_line, b_id, b_line: different classes, a of earlier before b of later, that pass the filters. Complete if earlier holds whole prefixes."""
+    size, percent = F.col("n"), F.lit(SIMILARITY_PERCENT)
+    # A frequent word stands in the prefix of short lines only. It is joined size by size, and only where its place leaves enough words.
+    sizes = F.sequence(F.ceil(size * percent / 100 - 1e-9), F.floor(size * 100 / percent + 1e-9))
+    b = later.withColumn("size", F.explode(F.when(F.col("often"), sizes).otherwise(F.array(F.lit(0).cast("long")))))
+    b = b.where((F.col("size") == 0) | (size - F.col("at") + SHARED - 1 >= needed(size, F.col("size")))).alias("b")
+    a = earlier.withColumn("size", F.when(F.col("often"), size.cast("long")).otherwise(F.lit(0).cast("long"))).alias("a")
     an, bn = F.col("a.n"), F.col("b.n")
-    long_enough = F.greatest(an, bn) * SIMILARITY_PERCENT <= F.least(an, bn) * 100
-    room = F.least(an - F.col("a.at"), bn - F.col("b.at")) >= least_common(an, bn)  # the shared word and all after it
-    joined = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.pos") < F.col("b.pos")) & long_enough & room)
-    return joined.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
-
-
-def matches(found: DataFrame) -> DataFrame:
-    """a, b of the candidates that are similar enough."""
-    pairs = written(candidates(found), "line-pairs")
-    words = found.select("class", "words")
-    left = pairs.join(words.select(F.col("class").alias("a"), F.col("words").alias("x")), "a")
-    both = left.join(words.select(F.col("class").alias("b"), F.col("words").alias("y")), "b")
-    x, y = F.split("x", " "), F.split("y", " ")
-    common = F.size(F.array_intersect(x, y))
-    return both.where(common * 100 >= (F.size(x) + F.size(y) - common) * SIMILARITY_PERCENT).select("a", "b")
+    before = (F.col("a.id") < F.col("b.id")) | ((F.col("a.id") == F.col("b.id")) & (F.col("a.line") < F.col("b.line")))
+    alike = F.greatest(an, bn) * SIMILARITY_PERCENT <= F.least(an, bn) * 100
+    # The shared word, all after it, and those shared before it: of the first shared words each passes.
+    room = F.least(an - F.col("a.at"), bn - F.col("b.at")) + SHARED - 1 >= needed(an, bn)
+    joined = b.join(a, (F.col("a.word") == F.col("b.word")) & (F.col("a.size") == F.col("b.size")) & before & alike & room)
+    shared = joined.groupBy(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("id", "line")]).agg(F.count(F.lit(1)).alias("shared"))
+    return shared.where(F.col("shared") >= SHARED).drop("shared")
+
+
+def matched(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """id, line: each b that is similar enough to an a."""
+    pairs = written(pairs, "line-pairs")
+    for x in "ab":
+        pairs = pairs.join(found.select(F.col("id").alias(f"{x}_id"), F.col("line").alias(f"{x}_line"), F.split("words", " ").alias(x)), [f"{x}_id", f"{x}_line"])
+    common = F.size(F.array_intersect("a", "b"))
+    alike = common * 100 >= (F.size("a") + F.size("b") - common) * SIMILARITY_PERCENT
+    return written(pairs.where(alike).select(F.col("b_id").alias("id"), F.col("b_line").alias("line")).distinct(), "line-matches")
+
+
+def removed_classes(found: DataFrame) -> DataFrame:
+    """id, line: classes whose first line matches an earlier line."""
+    index = written(prefixes(found), "line-prefixes")
+    # Of an earliest class's prefix only some words are here, so this round may miss pairs; the second does not.
+    least = index.withColumn("pos", position()).groupBy("word", "n", "often").agg(F.min("pos").alias("pos"), F.min_by("at", "pos").alias("at"))
+    earliest = least.select(*from_position(), "at", "word", "n", "often")
+    gone = matched(candidates(index, earliest), found)
+    rest = index.join(gone, ["id", "line"], "left_anti")
+    return gone.unionByName(matched(candidates(rest, index), found))
 
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (numbers of the lines that go, in order), n_links of every row of docs.
+    """doc_id, n_lines, n_removed, removed (numbers of the lines that go, in order) of every row of docs.
 
-    n_links counts the earlier classes that the first lines in this document match. Lines without a
-    word stay. A null text has one line, without a word. Rows that repeat a doc_id are in the same
-    place in the order, so none of them is later than another; a null doc_id is before all others.
-    An empty table gives an empty result; other columns are not read.
+    Lines without a word stay. A null text has one line, without a word. Rows that repeat a doc_id
+    are in the same place in the order, so none of them is later than another; a null doc_id is
+    before all others. An empty table gives an empty result; other columns are not read.
     """
     found = classes(docs, text, doc_id)
-    released(docs.sparkSession)
-    linked = written(matches(found), "line-matches")
-    links = linked.groupBy(F.col("b").alias("class")).agg(F.count(F.lit(1)).alias("links"))
-    two31 = F.lit(1 << 31).cast("decimal(10,0)")
-    line = F.pmod("pos", two31)
-    first = found.select("class", "pos").join(links, "class", "left").select(((F.col("pos") - line) / two31).cast("long").alias("id"), line.cast("int").alias("line"), F.coalesce("links", F.lit(0)).alias("links"))
-    per = first.groupBy("id").agg(F.collect_list(F.when(F.col("links") == 0, F.col("line"))).alias("stay"), F.sum("links").alias("n_links"))
-    body = F.split(text_of(text), "\n")
-    worded = F.filter(F.transform(body, lambda b, i: F.when(F.length(F.trim(F.translate(b, "\t\x0b\x0c\r", "    "))) > 0, i)), lambda i: i.isNotNull())
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.size(body).cast("long").alias("n_lines"), worded.alias("worded"))
+    stay = found.select("id", "line").join(removed_classes(found), ["id", "line"], "left_anti")
+    per = stay.groupBy("id").agg(F.collect_list("line").alias("stay"))
+    body = plain(docs, text, F.col(f"`{doc_id}`").cast("long").alias("doc_id")).select("doc_id", F.split("body", "\n").alias("lines"))
+    worded = F.filter(F.transform("lines", lambda b, i: F.when(F.trim(b) != "", i)), lambda i: i.isNotNull())
+    rows = body.select("doc_id", F.size("lines").cast("long").alias("n_lines"), worded.alias("worded"))
     out = rows.join(per, F.coalesce("doc_id", F.lit(LOWEST)) == F.col("id"), "left")
     removed = F.array_sort(F.array_except("worded", F.coalesce("stay", F.array().cast("array<int>"))))
-    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def without_lines(docs: DataFrame, decided: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -122,7 +160,7 @@ def without_lines(docs: DataFrame, decided: DataFrame, text: str = "text", doc_i
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"), "n_links")
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"))
 
 
 QUERIES = {"op4_line_dedup": op4_line_dedup}
