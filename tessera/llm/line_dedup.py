@@ -18,6 +18,8 @@ what it removes takes no part, as the later line, in the second round over all t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ SIMILARITY_PERCENT, BUCKETS, GROUP = 80, 1 << 20, 1 << 10
 #: Words that prefixes must share. Sets that match share at least four.
 SHARED = 3
 LOWEST, LINES = -(1 << 63), 1 << 31
-#: The sign of words seen 128 times: those from it on are joined size by size.
-OFTEN = chr(33 + 15)
+#: The sign of words seen 1,024 times: those from it on are joined band by band.
+OFTEN = chr(33 + 21)
 
 
 def plain(docs: DataFrame, text: str, *more: Column) -> DataFrame:
@@ -96,18 +98,17 @@ def needed(n: Column, m: Column) -> Column:
 
 def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
     """a_id, a_line, b_id, b_line: different classes, a of earlier before b of later, that pass the filters. Complete if earlier holds whole prefixes."""
-    size, percent = F.col("n"), F.lit(SIMILARITY_PERCENT)
-    # A frequent word stands in the prefix of short lines only. It is joined size by size, and only where its place leaves enough words.
-    sizes = F.sequence(F.ceil(size * percent / 100 - 1e-9), F.floor(size * 100 / percent + 1e-9))
-    b = later.withColumn("size", F.explode(F.when(F.col("often"), sizes).otherwise(F.array(F.lit(0).cast("long")))))
-    b = b.where((F.col("size") == 0) | (size - F.col("at") + SHARED - 1 >= needed(size, F.col("size")))).alias("b")
-    a = earlier.withColumn("size", F.when(F.col("often"), size.cast("long")).otherwise(F.lit(0).cast("long"))).alias("a")
+    # Frequent words are joined band by band: sizes of sets that match are at most one band of factor 1.25 apart.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILARITY_PERCENT))
+    none = F.lit(-1).cast("long")
+    b = later.withColumn("band", F.explode(F.when(F.col("often"), F.array(band - 1, band, band + 1)).otherwise(F.array(none)))).alias("b")
+    a = earlier.withColumn("band", F.when(F.col("often"), band).otherwise(none)).alias("a")
     an, bn = F.col("a.n"), F.col("b.n")
     before = (F.col("a.id") < F.col("b.id")) | ((F.col("a.id") == F.col("b.id")) & (F.col("a.line") < F.col("b.line")))
     alike = F.greatest(an, bn) * SIMILARITY_PERCENT <= F.least(an, bn) * 100
     # The shared word, all after it, and those shared before it: of the first shared words each passes.
     room = F.least(an - F.col("a.at"), bn - F.col("b.at")) + SHARED - 1 >= needed(an, bn)
-    joined = b.join(a, (F.col("a.word") == F.col("b.word")) & (F.col("a.size") == F.col("b.size")) & before & alike & room)
+    joined = b.join(a, (F.col("a.word") == F.col("b.word")) & (F.col("a.band") == F.col("b.band")) & before & alike & room)
     shared = joined.groupBy(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("id", "line")]).agg(F.count(F.lit(1)).alias("shared"))
     return shared.where(F.col("shared") >= SHARED).drop("shared")
 
