@@ -9,8 +9,8 @@ follows until no piece is left.
 Sizes are whole numbers up to the capacity, so a sorted table of pieces is at most `capacity` runs
 of equal size, and pieces in a run differ only by rank. Ranks are counted where the pieces are made
 and joined up by a running sum over tasks. The sweeps then match whole runs of pieces with whole
-runs of gaps, on tables that the capacity bounds whatever the number of documents, and each piece
-finds its place from its size and rank alone. No piece is moved to be packed.
+runs of gaps, on tables that the capacity bounds whatever the number of documents, so they run on the
+driver; executors then find the place of each piece from its size and rank alone.
 """
 
 from __future__ import annotations
