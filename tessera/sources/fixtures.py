@@ -64,7 +64,13 @@ RAW = f"""
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, business_name, business_address, country and the key k of all three sources."""
-    return spark.sql(RAW, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return spark.sql(RAW, part=dealt(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey"))
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer splits than there are cores is dealt out by key, since all that follows is work by row; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def truth(raw: DataFrame) -> DataFrame:
