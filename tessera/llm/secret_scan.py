@@ -2,8 +2,8 @@
 
 Every text is a layer. A layer is searched for secrets, and every stretch of it that is URL-encoded,
 written in Unicode escapes, or base64 (of text or of a compressed stream) becomes a layer of its own
-on the worklist, until nothing new turns up. A layer whose content was seen before in the document
-is a cycle and is left out. Each layer knows how its characters map to its parent's, so what is
+on the worklist, until nothing new turns up. A layer whose content is that of a layer around it is a
+cycle and is not unwrapped; content that stands in several places is unwrapped in each. Each layer knows how its characters map to its parent's, so what is
 found in it is reported as a span of the outermost text.
 """
 
@@ -51,7 +51,13 @@ class Layer:
     """A decoded text. spread(i) gives the start and end, in the parent's text, of what its character i comes from."""
 
     def __init__(self, text: str, parent: Layer | None = None, spread: Callable[[int], tuple[int, int]] | None = None):
-        self.text, self.parent, self.spread = text, parent, spread
+        self.text, self.parent, self.spread, self.mark = text, parent, spread, b""
+
+    def is_cycle(self, raw: bytes) -> bool:
+        self.mark, layer = hashlib.blake2b(raw, digest_size=16).digest(), self.parent
+        while layer is not None and layer.mark != self.mark:
+            layer = layer.parent
+        return layer is not None
 
     def outer(self, start: int, end: int) -> tuple[int, int]:
         layer = self
@@ -196,17 +202,13 @@ def secrets(text: str, raw: bytes | None = None, most: int = MOST_DECODED) -> tu
     """(base spans, all spans) of a text, each (start, index of the kind, end), in order."""
     raw = text.encode("utf-8", "replace") if raw is None else raw
     base = sorted(scan(text, raw))
-    every, seen, room = set(base), set(), most
+    every, room = set(base), most
     work = [(Layer(text), raw)]
     while work:
         layer, own = work.pop()
+        if layer.is_cycle(own):
+            continue
         if layer.parent is not None:
-            mark = hashlib.blake2b(own, digest_size=16).digest()
-            if mark in seen:
-                # The same content may stand in several places: search it, but do not unwrap it again.
-                every.update((s, k, e) for (a, k, b) in scan(layer.text, own) for s, e in [layer.outer(a, b)])
-                continue
-            seen.add(mark)
             every.update((s, k, e) for (a, k, b) in scan(layer.text, own) for s, e in [layer.outer(a, b)])
         for inner in unwrap(layer, own, room):
             room -= len(inner.text)

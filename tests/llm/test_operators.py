@@ -278,6 +278,14 @@ def test_layers():
     assert at[s:e] == "token%3A%20abcdefgh"
 
 
+def test_repeated_layers_are_all_unwrapped():
+    import base64
+
+    blob = base64.b64encode(base64.b64encode(b"my password = hunter22x!")).decode()
+    spans = secret_scan.secrets(f"{blob} and {blob}\n{blob}")[1]
+    assert len(spans) == 3 and [s // len(blob) for s, _, _ in spans] == [0, 1, 2]
+
+
 def test_cycles_and_bombs_end():
     import base64
     import gzip
