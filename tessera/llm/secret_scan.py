@@ -1,10 +1,11 @@
 """Operator 7, secret scans with a recursive decoding worklist.
 
-Every text is a layer. A layer is searched for secrets, and every stretch of it that is URL-encoded,
-written in Unicode escapes, or base64 (of text or of a compressed stream) becomes a layer of its own
-on the worklist, until nothing new turns up. A layer whose content is that of a layer around it is a
-cycle and is not unwrapped; content that stands in several places is unwrapped in each. Each layer knows how its characters map to its parent's, so what is
-found in it is reported as a span of the outermost text.
+Every text is a layer of bytes, its UTF-8. A layer is searched for secrets, and these become layers of
+their own on the worklist, until nothing new turns up: the whole layer with its URL escapes replaced,
+the whole layer with its Unicode escapes replaced, and what each base64 stretch holds (bytes, or
+a compressed stream). Each layer knows which characters of the outermost text its bytes come from, so what
+is found in it is reported as a span there. A layer with the same bytes from the same places as
+one before adds nothing and is left out; the same bytes from other places are unwrapped again.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,103 +28,122 @@ from pyspark.sql import types as T
 from .common import arrow_batches, table, text_bytes
 
 KINDS = ("assign", "access", "hex")
-ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
-ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+# Every secret is ASCII, so bytes are searched; bytes that are no UTF-8 match nothing.
+ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
+ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"(?<![0-9a-f])[0-9a-f]{24,}")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
-ENCODED_URL, SPACE = re.compile(r"%[0-9A-Fa-f]{2}"), re.compile(r"\s")
-ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Characters that one document's layers may hold together; a stream that grows past it stays closed.
+ONE_ESCAPE = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Bytes that one document's layers may hold together; a stream that grows past it stays closed.
 MOST_DECODED = 1 << 25
+DIGITS = np.full(256, 16, np.uint8)
+for _d in b"0123456789abcdefABCDEF":
+    DIGITS[_d] = int(chr(_d), 16)
 
+#: For each escape of a layer, in order: start and end in the layer, start and end of what it comes from.
+Escapes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-def scan(text: str, raw: bytes) -> list[tuple[int, int, int]]:
-    """(start, index of the kind, end) of the secrets of one layer; raw is its UTF-8."""
+
+def scan(raw: bytes) -> list[tuple[int, int, int]]:
+    """(start, index of the kind, end) of the secrets of one layer."""
     found, low = [], raw.lower()
     if any(n in low for n in NAMES):
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(raw) if len(m[2]) >= 6]
     if b"AKIA" in raw:
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(raw) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(raw)]
     return found
 
 
-class Layer:
-    """A decoded text. spread(i) gives the start and end, in the parent's text, of what its character i comes from."""
-
-    def __init__(self, text: str, parent: Layer | None = None, spread: Callable[[int], tuple[int, int]] | None = None):
-        self.text, self.parent, self.spread, self.mark = text, parent, spread, b""
+def _digest(*parts: object) -> bytes:
+    h = hashlib.blake2b(digest_size=16)
+    for p in parts:
+        b = p if isinstance(p, bytes) else p.tobytes() if isinstance(p, np.ndarray) else str(p).encode()
+        h.update(b"%d:" % len(b) + b)
+    return h.digest()
 
-    def is_cycle(self, raw: bytes) -> bool:
-        self.mark, layer = hashlib.blake2b(raw, digest_size=16).digest(), self.parent
-        while layer is not None and layer.mark != self.mark:
-            layer = layer.parent
-        return layer is not None
 
-    def outer(self, start: int, end: int) -> tuple[int, int]:
-        layer = self
-        while layer.parent is not None:
-            start, end = layer.spread(start)[0], layer.spread(end - 1)[1]
-            layer = layer.parent
+class Layer:
+    """Decoded bytes. They come from an anchor (the outermost text, or what a base64 stretch or stream
+    holds) with its escapes replaced; up(start, end) is the span of the outermost text for one of the anchor,
+    and place tells anchors from other places apart."""
+
+    def __init__(self, raw: bytes, up: Callable[[int, int], tuple[int, int]], place: bytes, escapes: Escapes | None = None):
+        self.raw, self.up, self.place, self.escapes = raw, up, place, escapes
+
+    def anchored(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the anchor for one of this layer."""
+        if self.escapes is None:
+            return start, end
+        c, e, p, q = self.escapes
+        i, j = (int(k) for k in np.searchsorted(c, (start, end - 1), "right") - 1)
+        if i >= 0:
+            start = int(p[i]) if start < e[i] else int(q[i]) + start - int(e[i])
+        if j >= 0:
+            end = int(q[j]) if end - 1 < e[j] else int(q[j]) + end - int(e[j])
         return start, end
 
-
-def _decoded_utf8(data: list[tuple[int, int, int]], raw: bytes) -> tuple[str, list[tuple[int, int]]] | None:
-    """Text of bytes that each carry the span they come from, and the span of each character."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
+    def outer(self, start: int, end: int) -> tuple[int, int]:
+        return self.up(*self.anchored(start, end))
+
+    def replaced(self, raw: bytes, escapes: Escapes) -> Layer:
+        """This layer with escapes replaced."""
+        if self.escapes is None:
+            return Layer(raw, self.up, self.place, escapes)
+        (c, e, p, q), (oc, oe, op, oq) = escapes, self.escapes
+        i, j = np.searchsorted(oc, p, "right") - 1, np.searchsorted(oc, q - 1, "right") - 1
+        start = np.where(i < 0, p, np.where(p < oe[i], op[i], oq[i] + p - oe[i]))
+        end = np.where(j < 0, q, np.where(q - 1 < oe[j], oq[j], oq[j] + q - oe[j]))
+        # Escapes of this layer that no new one takes in move by what the new ones before them are shorter.
+        k = np.searchsorted(p, oc, "right") - 1
+        own = (k < 0) | (oc >= q[k])
+        move = np.where(k < 0, 0, q[k] - e[k])
+        parts = [(c, (oc - move)[own]), (e, (oe - move)[own]), (start, op[own]), (end, oq[own])]
+        merged = [np.concatenate(x) for x in parts]
+        order = np.argsort(merged[0], kind="stable")
+        return Layer(raw, self.up, self.place, tuple(x[order] for x in merged))
+
+    def places(self, start: int, end: int) -> tuple:
+        """What decides where the bytes of a stretch come from."""
+        s, t = self.anchored(start, end)
+        if self.escapes is None:
+            return self.place, s, t
+        c, e, p, q = self.escapes
+        i, j = np.searchsorted(e, start, "right"), np.searchsorted(c, end, "left")
+        return (self.place, s, t) if i == j else (self.place, s, t, c[i:j] - start, e[i:j] - start, p[i:j] - s, q[i:j] - s)
+
+    def key(self) -> bytes:
+        return _digest(self.raw, *self.places(0, len(self.raw)))
+
+
+def _url(raw: bytes) -> tuple[bytes, Escapes] | None:
+    a = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(a[:-2] == ord("%"))
+    high, low = DIGITS[a[at + 1]], DIGITS[a[at + 2]]
+    good = (high < 16) & (low < 16)
+    at = at[good]
+    if not len(at):
         return None
-    spans, at = [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        spans.append((data[at][1], data[at + n - 1][2]))
-        at += n
-    return text, spans
-
-
-def stretches(text: str, sign: re.Pattern[str]) -> Iterator[tuple[int, str]]:
-    """The runs of characters other than white space that hold a sign, with where they start."""
-    end = 0
-    while (m := sign.search(text, end)) is not None:
-        start = m.start()
-        while start > end and not text[start - 1].isspace():
-            start -= 1
-        space = SPACE.search(text, m.end())
-        end = space.start() if space else len(text)
-        yield start, text[start:end]
-
-
-def _url(start: int, stretch: str) -> tuple[str, list[tuple[int, int]]] | None:
-    data, i = [], 0
-    while i < len(stretch):
-        if stretch[i] == "%" and re.match(r"[0-9A-Fa-f]{2}", stretch[i + 1 : i + 3]):
-            data.append((int(stretch[i + 1 : i + 3], 16), start + i, start + i + 3))
-            i += 3
-        else:
-            data += [(b, start + i, start + i + 1) for b in stretch[i].encode("utf-8", "surrogatepass")]
-            i += 1
-    return _decoded_utf8(data, bytes(b for b, _, _ in data))
-
-
-def _escapes(start: int, stretch: str) -> tuple[str, list[tuple[int, int]]]:
-    out, spans, at = [], [], 0
-    for m in ONE_ESCAPE.finditer(stretch):
-        for i in range(at, m.start()):
-            out.append(stretch[i])
-            spans.append((start + i, start + i + 1))
+    out, keep = a.copy(), np.ones(len(a), bool)
+    out[at] = high[good] * 16 + low[good]
+    keep[at + 1] = keep[at + 2] = False
+    c = at - 2 * np.arange(len(at))
+    return out[keep].tobytes(), (c, c + 1, at, at + 3)
+
+
+def _escapes(raw: bytes) -> tuple[bytes, Escapes] | None:
+    """Codes below 256 stand for a byte each, which no search for ASCII can tell from UTF-8."""
+    out, spans, at = bytearray(), [], 0
+    for m in ONE_ESCAPE.finditer(raw):
+        out += raw[at : m.start()]
         at = m.end()
         code = int(next(g for g in m.groups()[:4] if g), 16) if m[5] is None else int(m[5])
-        if 0xDC00 <= code < 0xE000 and out and 0xD800 <= ord(out[-1]) < 0xDC00:  # the second half of a pair
-            out[-1] = chr(0x10000 + ((ord(out[-1]) - 0xD800) << 10) + code - 0xDC00)
-            spans[-1] = (spans[-1][0], start + m.end())
-        elif code < 0x110000:
-            out.append(chr(code))
-            spans.append((start + m.start(), start + m.end()))
-    for i in range(at, len(stretch)):
-        out.append(stretch[i])
-        spans.append((start + i, start + i + 1))
-    return "".join("�" if 0xD800 <= ord(c) < 0xE000 else c for c in out), spans
+        c = len(out)
+        out += bytes([code]) if code < 256 else chr(code if code < 0x110000 else 0xFFFD).encode("utf-8", "surrogatepass")
+        spans.append((c, len(out), m.start(), at))
+    if not spans:
+        return None
+    return bytes(out + raw[at:]), tuple(np.array(spans, np.int64).T)
 
 
 def inflate(data: bytes, most: int) -> bytes | None:
@@ -152,71 +173,73 @@ def inflate(data: bytes, most: int) -> bytes | None:
         raise
 
 
-def _base64(start: int, stretch: str, room: int) -> tuple[str, Callable[[int], tuple[int, int]]] | None:
-    bare = stretch.rstrip("=")
+def _base64(layer: Layer, start: int, stretch: bytes, room: int) -> Layer | None:
+    bare = stretch.rstrip(b"=")
     if bare.islower() or bare.isdigit() or len(bare) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
+        data = base64.b64decode(bare.replace(b"-", b"+").replace(b"_", b"/") + b"=" * (-len(bare) % 4), validate=True)
     except binascii.Error:
         return None
     end = start + len(stretch)
     if (open_ := inflate(data, room)) is not None:
-        try:
-            return open_.decode("utf-8"), lambda _: (start, end)  # a stream's bytes all depend on each other
-        except UnicodeDecodeError:
-            return None
+        whole = layer.outer(start, end)  # a stream's bytes all depend on each other
+        return Layer(open_, lambda *_: whole, _digest("stream", *whole))
     try:
         plain = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
     if any(ord(c) < 32 and c not in "\t\n\r" for c in plain):
         return None
-    ends = [0]
-    for c in plain:
-        ends.append(ends[-1] + len(c.encode("utf-8")))
 
-    def spread(i: int) -> tuple[int, int]:
-        return start + ends[i] * 8 // 6, min(end, start + (ends[i + 1] * 8 - 1) // 6 + 1)
+    def up(a: int, b: int) -> tuple[int, int]:
+        return layer.outer(start + a * 8 // 6, min(end, start + (b * 8 - 1) // 6 + 1))
 
-    return plain, spread
+    return Layer(data, up, _digest("base64", *layer.places(start, end)))
 
 
-def unwrap(layer: Layer, raw: bytes, room: int) -> Iterator[Layer]:
+def unwrap(layer: Layer, room: int) -> Iterator[Layer]:
     """The layers directly inside this one."""
-    text = layer.text
-    if b"%" in raw:
-        for at, stretch in stretches(text, ENCODED_URL):
-            if (got := _url(at, stretch)) is not None:
-                yield Layer(got[0], layer, got[1].__getitem__)
-    if b"\\" in raw or b"&#" in raw:
-        for at, stretch in stretches(text, ONE_ESCAPE):
-            plain, spans = _escapes(at, stretch)
-            yield Layer(plain, layer, spans.__getitem__)
-    for m in BASE64.finditer(text):
-        if (got := _base64(m.start(), m[0], room)) is not None:
-            yield Layer(got[0], layer, got[1])
+    raw = layer.raw
+    if b"%" in raw and (got := _url(raw)) is not None:
+        yield layer.replaced(*got)
+    if (b"\\" in raw or b"&#" in raw) and (got := _escapes(raw)) is not None:
+        yield layer.replaced(*got)
+    for m in BASE64.finditer(raw):
+        if (inner := _base64(layer, m.start(), m[0], room)) is not None:
+            yield inner
+
+
+def _in_characters(raw: bytes, *lists: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Spans of bytes as spans of characters. Both ends are beside ASCII, where even bytes that are no UTF-8 can be cut."""
+    if raw.isascii():
+        return [*lists]
+    at, n, number = 0, 0, {}
+    for x in sorted({x for spans in lists for s, _, e in spans for x in (s, e)}):
+        n += len(raw[at:x].decode("utf-8", "replace"))
+        at, number[x] = x, n
+    return [[(number[s], k, number[e]) for s, k, e in spans] for spans in lists]
 
 
 def secrets(text: str, raw: bytes | None = None, most: int = MOST_DECODED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text, each (start, index of the kind, end), in order."""
     raw = text.encode("utf-8", "replace") if raw is None else raw
-    base = sorted(scan(text, raw))
-    every, room = set(base), most
-    work = [(Layer(text), raw)]
+    base = sorted(scan(raw))
+    every, seen, room = set(base), set(), most
+    work = [Layer(raw, lambda *span: span, b"")]
     while work:
-        layer, own = work.pop()
-        if layer.is_cycle(own):
-            continue
-        if layer.parent is not None:
-            every.update((s, k, e) for (a, k, b) in scan(layer.text, own) for s, e in [layer.outer(a, b)])
-        for inner in unwrap(layer, own, room):
-            room -= len(inner.text)
-            if inner.text and room > 0:
-                work.append((inner, inner.text.encode("utf-8", "replace")))
-    return base, sorted(every)
-
-
+        layer = work.pop()
+        if layer.place or layer.escapes is not None:
+            mark = layer.key()
+            if mark in seen:
+                continue
+            seen.add(mark)
+            every.update((s, k, e) for (a, k, b) in scan(layer.raw) for s, e in [layer.outer(a, b)])
+        for inner in unwrap(layer, room):
+            room -= len(inner.raw)
+            if inner.raw and room > 0:
+                work.append(inner)
+    return tuple(_in_characters(raw, base, sorted(every)))
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

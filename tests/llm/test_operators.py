@@ -286,6 +286,16 @@ def test_repeated_layers_are_all_unwrapped():
     assert len(spans) == 3 and [s // len(blob) for s, _, _ in spans] == [0, 1, 2]
 
 
+def test_escaped_values_of_plain_keys():
+    from urllib.parse import quote
+
+    for text, part in (("é password: %68unter2%32abc, x", "password: %68unter2%32abc"), ('{"token": "\\u0061bcdef123"}', 'token": "\\u0061bcdef123'), ("api_key = &#97;bc%64ef\\x31 z", "api_key = &#97;bc%64ef\\x31"), ("é %41 token : %2561bcdef \\u00e9", "token : %2561bcdef")):
+        base, every = secret_scan.secrets(text)
+        assert not base and part in {text[s:e] for s, _, e in every}
+        twice = quote(text, safe="")
+        assert quote(part, safe="") in {twice[s:e] for s, _, e in secret_scan.secrets(twice)[1]}
+
+
 def test_cycles_and_bombs_end():
     import base64
     import gzip
