@@ -2,8 +2,8 @@
 
 Every text is a layer of bytes, its UTF-8. A layer is searched for secrets, and these become layers of
 their own on the worklist, until nothing new turns up: the whole layer with its URL escapes replaced,
-the whole layer with its Unicode escapes replaced, and what each base64 stretch holds (bytes, or
-a compressed stream). Each layer knows which characters of the outermost text its bytes come from, so what
+the whole layer with its Unicode escapes replaced, what each base64 stretch holds, and, in all but the
+outermost text, what each compressed stream holds. Each layer knows which characters of the outermost text its bytes come from, so what
 is found in it is reported as a span there. A layer with the same bytes from the same places as
 one before adds nothing and is left out; the same bytes from other places are unwrapped again.
 """
@@ -33,6 +33,12 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"(?<![0-9a-f])[0-9a-f]{24,}")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 ONE_ESCAPE = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: Read as a string literal of C or Python, where a stream has short escapes besides those in hex.
+LITERAL = re.compile(ONE_ESCAPE.pattern + rb"""|\\([abfnrtv0\\'"])""")
+SHORT = dict(zip(b"abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
+#: How gzip, zlib, bzip2, xz and zstandard streams begin.
+STREAM = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+READ, PIECE = 1 << 16, 1 << 20
 BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Bytes that one document's layers may hold together; a stream that grows past it stays closed.
 MOST_DECODED = 1 << 25
@@ -68,8 +74,10 @@ class Layer:
     holds) with its escapes replaced; up(start, end) is the span of the outermost text for one of the anchor,
     and place tells anchors from other places apart."""
 
-    def __init__(self, raw: bytes, up: Callable[[int, int], tuple[int, int]], place: bytes, escapes: Escapes | None = None):
+    def __init__(self, raw: bytes, up: Callable[[int, int], tuple[int, int]], place: bytes, escapes: Escapes | None = None, whole: tuple[int, int] | None = None):
         self.raw, self.up, self.place, self.escapes = raw, up, place, escapes
+        #: The span of a base64 stretch, padding included.
+        self.whole = whole
 
     def anchored(self, start: int, end: int) -> tuple[int, int]:
         """The span of the anchor for one of this layer."""
@@ -131,13 +139,16 @@ def _url(raw: bytes) -> tuple[bytes, Escapes] | None:
     return out[keep].tobytes(), (c, c + 1, at, at + 3)
 
 
-def _escapes(raw: bytes) -> tuple[bytes, Escapes] | None:
+def _escapes(raw: bytes, kind: re.Pattern[bytes] = ONE_ESCAPE) -> tuple[bytes, Escapes] | None:
     """Codes below 256 stand for a byte each, which no search for ASCII can tell from UTF-8."""
     out, spans, at = bytearray(), [], 0
-    for m in ONE_ESCAPE.finditer(raw):
+    for m in kind.finditer(raw):
         out += raw[at : m.start()]
         at = m.end()
-        code = int(next(g for g in m.groups()[:4] if g), 16) if m[5] is None else int(m[5])
+        if kind is LITERAL and m[6]:
+            code = SHORT[m[6][0]]
+        else:
+            code = int(next(g for g in m.groups()[:4] if g), 16) if m[5] is None else int(m[5])
         c = len(out)
         out += bytes([code]) if code < 256 else chr(code if code < 0x110000 else 0xFFFD).encode("utf-8", "surrogatepass")
         spans.append((c, len(out), m.start(), at))
@@ -146,34 +157,73 @@ def _escapes(raw: bytes) -> tuple[bytes, Escapes] | None:
     return bytes(out + raw[at:]), tuple(np.array(spans, np.int64).T)
 
 
-def inflate(data: bytes, most: int) -> bytes | None:
-    """What a gzip, zlib, bzip2, xz or zstandard stream holds, at most so many bytes; None if data is no such stream."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and int.from_bytes(data[:2]) % 31 == 0):
-            tool = zlib.decompressobj(47)
-            out = tool.decompress(data, most)
-            return out if tool.eof else None
-        if data[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            tool = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(most)
-                return None if reader.read(1) else out
+def _member(data: memoryview, at: int) -> Iterator[tuple[bytes, int]]:
+    """Pieces of what one stream holds, each with where the stream has been read to. Damage is an error."""
+    read, start = READ, data[at]
+    if start == 0x42:
+        tool = bz2.BZ2Decompressor()
+    elif start == 0xFD:
+        tool = lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    elif start == 0x28:
+        import zstandard
+
+        tool, read = zstandard.ZstdDecompressor().decompressobj(), 256  # it gives all that its input holds at once
+    else:
+        tool = zlib.decompressobj(47)
+    buffer = b""
+    while not tool.eof:
+        if not buffer and getattr(tool, "needs_input", True):
+            buffer = data[at : at + read]
+            at += len(buffer)
+        if start == 0x28:
+            out, buffer, ended = tool.decompress(buffer), b"", not buffer
         else:
-            return None
-        out = tool.decompress(data, most)
-        return out if tool.eof else None
+            given = len(buffer)
+            out = tool.decompress(buffer, PIECE)
+            ended = not given and not out and getattr(tool, "needs_input", True)
+            buffer = getattr(tool, "unconsumed_tail", b"")
+        if ended and not tool.eof:
+            raise EOFError
+        yield out, at - len(tool.unused_data)
+
+
+def inflated(data: memoryview, at: int) -> Iterator[tuple[bytes, int]]:
+    """As _member, with streams of the same kind that follow at once."""
+    start = data[at]
+    while True:
+        for out, at in _member(data, at):
+            yield out, at
+        if at >= len(data) or data[at] != start or STREAM.match(data, at) is None:
+            return
+
+
+def inflate(data: memoryview, at: int, most: int) -> tuple[bytes, int] | None:
+    """What the stream at a place holds, if at most so many bytes, and where it ends; None if there is no whole stream."""
+    out = bytearray()
+    try:
+        for piece, end in inflated(data, at):
+            out += piece
+            if len(out) > most:
+                return None
+        return bytes(out), end
     except Exception as e:
         if isinstance(e, (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)) or type(e).__name__ == "ZstdError":
             return None
         raise
 
 
-def _base64(layer: Layer, start: int, stretch: bytes, room: int) -> Layer | None:
+def _streams(layer: Layer, room: int) -> Iterator[Layer]:
+    raw, at = layer.raw, 0
+    while (m := STREAM.search(raw, at)) is not None:
+        at = m.end()
+        if (got := inflate(memoryview(raw), m.start(), room)) is not None:
+            at = got[1]
+            # A stream's bytes all depend on each other.
+            whole = layer.whole if layer.whole and (m.start(), at) == (0, len(raw)) else layer.outer(m.start(), at)
+            yield Layer(got[0], lambda *_, whole=whole: whole, _digest("stream", *whole))
+
+
+def _base64(layer: Layer, start: int, stretch: bytes) -> Layer | None:
     bare = stretch.rstrip(b"=")
     if bare.islower() or bare.isdigit() or len(bare) % 4 == 1:
         return None
@@ -182,20 +232,11 @@ def _base64(layer: Layer, start: int, stretch: bytes, room: int) -> Layer | None
     except binascii.Error:
         return None
     end = start + len(stretch)
-    if (open_ := inflate(data, room)) is not None:
-        whole = layer.outer(start, end)  # a stream's bytes all depend on each other
-        return Layer(open_, lambda *_: whole, _digest("stream", *whole))
-    try:
-        plain = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if any(ord(c) < 32 and c not in "\t\n\r" for c in plain):
-        return None
 
     def up(a: int, b: int) -> tuple[int, int]:
         return layer.outer(start + a * 8 // 6, min(end, start + (b * 8 - 1) // 6 + 1))
 
-    return Layer(data, up, _digest("base64", *layer.places(start, end)))
+    return Layer(data, up, _digest("base64", *layer.places(start, end)), whole=layer.outer(start, end))
 
 
 def unwrap(layer: Layer, room: int) -> Iterator[Layer]:
@@ -205,9 +246,13 @@ def unwrap(layer: Layer, room: int) -> Iterator[Layer]:
         yield layer.replaced(*got)
     if (b"\\" in raw or b"&#" in raw) and (got := _escapes(raw)) is not None:
         yield layer.replaced(*got)
+    if b"\\x" in raw and (got := _escapes(raw, LITERAL)) is not None:
+        yield layer.replaced(*got)
     for m in BASE64.finditer(raw):
-        if (inner := _base64(layer, m.start(), m[0], room)) is not None:
+        if (inner := _base64(layer, m.start(), m[0])) is not None:
             yield inner
+    if layer.place or layer.escapes is not None:
+        yield from _streams(layer, room)
 
 
 def _in_characters(raw: bytes, *lists: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:

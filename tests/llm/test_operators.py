@@ -296,6 +296,28 @@ def test_escaped_values_of_plain_keys():
         assert quote(part, safe="") in {twice[s:e] for s, _, e in secret_scan.secrets(twice)[1]}
 
 
+def test_binary_layers():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    import zlib
+    from urllib.parse import quote
+
+    import zstandard
+
+    inner = b"my password = hunter22x! " + " ".join(str(i * i) for i in range(200)).encode()
+    zipped = [gzip.compress(inner), zlib.compress(inner), bz2.compress(inner), lzma.compress(inner), zstandard.compress(inner)]
+    made = [base64.b64encode(gzip.compress(z)).decode() for z in zipped] + [base64.b64encode(b"head" + z + b"tail").decode() for z in zipped]
+    made += [quote(z, safe="") for z in zipped] + ["".join(f"\\x{b:02x}" for b in z) for z in zipped] + [repr(z) for z in zipped]
+    made += [base64.b64encode(gzip.compress(b"nothing") + gzip.compress(inner)).decode(), base64.b64encode(b"\x01\xff" + inner).decode(), "q=caf%E9&token%3Dabcdef123"]
+    for x in made:
+        text = f"é {x} after"
+        base, every = secret_scan.secrets(text)
+        assert not base and len({(s, e) for s, _, e in every}) >= 1, x
+        assert all(2 <= s < e <= 2 + len(x) for s, _, e in every)
+
+
 def test_cycles_and_bombs_end():
     import base64
     import gzip
