@@ -6,6 +6,11 @@ the whole layer with its Unicode escapes replaced, what each base64 stretch hold
 outermost text, what each compressed stream holds. Each layer knows which characters of the outermost text its bytes come from, so what
 is found in it is reported as a span there. A layer with the same bytes from the same places as
 one before adds nothing and is left out; the same bytes from other places are unwrapped again.
+
+Layers are unwrapped depth first, so that only a layer and those around it are held. What a stream holds
+beyond WINDOW bytes is looked at in windows that overlap by half. Where that may not be the whole job (a run
+without white space or a stream as long as half a window, or layers of more than MOST_DECODED bytes in
+one document, as of a bomb) the document is marked: whole is false.
 """
 
 from __future__ import annotations
@@ -40,8 +45,9 @@ SHORT = dict(zip(b"abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
 STREAM = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 READ, PIECE = 1 << 16, 1 << 20
 BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Bytes that one document's layers may hold together; a stream that grows past it stays closed.
-MOST_DECODED = 1 << 25
+#: Bytes that one document's layers may hold together before it is marked, and bytes of a stream to look at together.
+MOST_DECODED, WINDOW = 1 << 30, 1 << 23
+RUN = re.compile(rb"[^\x20\x09-\x0D]+")
 DIGITS = np.full(256, 16, np.uint8)
 for _d in b"0123456789abcdefABCDEF":
     DIGITS[_d] = int(chr(_d), 16)
@@ -50,6 +56,18 @@ for _d in b"0123456789abcdefABCDEF":
 Escapes = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
+class Room:
+    """What is left of the bytes that one document's layers may hold, and whether all of it was looked at."""
+
+    def __init__(self, left: int):
+        self.left, self.whole = left, True
+
+    def take(self, n: int) -> bool:
+        self.left -= n
+        self.whole &= self.left >= 0
+        return self.left >= 0
+
+
 def scan(raw: bytes) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) of the secrets of one layer."""
     found, low = [], raw.lower()
@@ -74,10 +92,12 @@ class Layer:
     holds) with its escapes replaced; up(start, end) is the span of the outermost text for one of the anchor,
     and place tells anchors from other places apart."""
 
-    def __init__(self, raw: bytes, up: Callable[[int, int], tuple[int, int]], place: bytes, escapes: Escapes | None = None, whole: tuple[int, int] | None = None):
+    def __init__(self, raw: bytes, up: Callable[[int, int], tuple[int, int]], place: bytes, escapes: Escapes | None = None, whole: tuple[int, int] | None = None, cut: bool = False):
         self.raw, self.up, self.place, self.escapes = raw, up, place, escapes
         #: The span of a base64 stretch, padding included.
         self.whole = whole
+        #: Whether it lies in a window of a longer stream.
+        self.cut = cut
 
     def anchored(self, start: int, end: int) -> tuple[int, int]:
         """The span of the anchor for one of this layer."""
@@ -97,7 +117,7 @@ class Layer:
     def replaced(self, raw: bytes, escapes: Escapes) -> Layer:
         """This layer with escapes replaced."""
         if self.escapes is None:
-            return Layer(raw, self.up, self.place, escapes)
+            return Layer(raw, self.up, self.place, escapes, cut=self.cut)
         (c, e, p, q), (oc, oe, op, oq) = escapes, self.escapes
         i, j = np.searchsorted(oc, p, "right") - 1, np.searchsorted(oc, q - 1, "right") - 1
         start = np.where(i < 0, p, np.where(p < oe[i], op[i], oq[i] + p - oe[i]))
@@ -109,7 +129,7 @@ class Layer:
         parts = [(c, (oc - move)[own]), (e, (oe - move)[own]), (start, op[own]), (end, oq[own])]
         merged = [np.concatenate(x) for x in parts]
         order = np.argsort(merged[0], kind="stable")
-        return Layer(raw, self.up, self.place, tuple(x[order] for x in merged))
+        return Layer(raw, self.up, self.place, tuple(x[order] for x in merged), cut=self.cut)
 
     def places(self, start: int, end: int) -> tuple:
         """What decides where the bytes of a stretch come from."""
@@ -197,30 +217,58 @@ def inflated(data: memoryview, at: int) -> Iterator[tuple[bytes, int]]:
             return
 
 
-def inflate(data: memoryview, at: int, most: int) -> tuple[bytes, int] | None:
-    """What the stream at a place holds, if at most so many bytes, and where it ends; None if there is no whole stream."""
-    out = bytearray()
-    try:
-        for piece, end in inflated(data, at):
+def extent(data: memoryview, at: int, most: int) -> tuple[int, int, bytes, bool]:
+    """How much the stream at a place holds, where it ends, what it holds if that fits a window, and whether its
+    end is within so many bytes (else the first two are what was read). Damage is an error."""
+    n, out = 0, bytearray()
+    for piece, end in inflated(data, at):
+        n += len(piece)
+        if n <= WINDOW:
             out += piece
-            if len(out) > most:
-                return None
-        return bytes(out), end
-    except Exception as e:
-        if isinstance(e, (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)) or type(e).__name__ == "ZstdError":
-            return None
-        raise
+        if n > most:
+            return n, end, bytes(out), False
+    return n, end, bytes(out), True
+
+
+def windows(data: memoryview, at: int, most: int) -> Iterator[bytes]:
+    """What the stream at a place holds, at most so many bytes, in windows that overlap by half."""
+    held, n = bytearray(), 0
+    for piece, _ in inflated(data, at):
+        held += piece[: most - n]
+        n += len(piece)
+        while len(held) >= WINDOW:
+            yield bytes(held[:WINDOW])
+            del held[: WINDOW // 2]
+        if n >= most:
+            break
+    yield bytes(held)
+
 
+def _is_damage(e: Exception) -> bool:
+    return isinstance(e, (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)) or type(e).__name__ == "ZstdError"
 
-def _streams(layer: Layer, room: int) -> Iterator[Layer]:
+
+def _streams(layer: Layer, room: Room) -> Iterator[Layer]:
     raw, at = layer.raw, 0
     while (m := STREAM.search(raw, at)) is not None:
-        at = m.end()
-        if (got := inflate(memoryview(raw), m.start(), room)) is not None:
-            at = got[1]
-            # A stream's bytes all depend on each other.
-            whole = layer.whole if layer.whole and (m.start(), at) == (0, len(raw)) else layer.outer(m.start(), at)
-            yield Layer(got[0], lambda *_, whole=whole: whole, _digest("stream", *whole))
+        start, at, data = m.start(), m.end(), memoryview(raw)
+        most = max(room.left, 0)
+        try:
+            n, at, out, ends = extent(data, start, most)
+        except Exception as e:
+            if not _is_damage(e):
+                raise
+            # A stream that a window cuts off ends early.
+            room.whole &= not (layer.cut and isinstance(e, EOFError))
+            continue
+        # A stream's bytes all depend on each other.
+        whole = layer.whole if layer.whole and (start, at) == (0, len(raw)) else layer.outer(start, at)
+        room.whole &= ends
+        for part in [out] if n <= min(WINDOW, most) else windows(data, start, most):
+            cut = layer.cut or n > WINDOW
+            if cut and max((x.end() - x.start() for x in RUN.finditer(part)), default=0) >= WINDOW // 2:
+                room.whole = False
+            yield Layer(part, lambda *_, whole=whole: whole, _digest("stream", *whole), cut=cut)
 
 
 def _base64(layer: Layer, start: int, stretch: bytes) -> Layer | None:
@@ -236,10 +284,10 @@ def _base64(layer: Layer, start: int, stretch: bytes) -> Layer | None:
     def up(a: int, b: int) -> tuple[int, int]:
         return layer.outer(start + a * 8 // 6, min(end, start + (b * 8 - 1) // 6 + 1))
 
-    return Layer(data, up, _digest("base64", *layer.places(start, end)), whole=layer.outer(start, end))
+    return Layer(data, up, _digest("base64", *layer.places(start, end)), whole=layer.outer(start, end), cut=layer.cut)
 
 
-def unwrap(layer: Layer, room: int) -> Iterator[Layer]:
+def unwrap(layer: Layer, room: Room) -> Iterator[Layer]:
     """The layers directly inside this one."""
     raw = layer.raw
     if b"%" in raw and (got := _url(raw)) is not None:
@@ -266,32 +314,34 @@ def _in_characters(raw: bytes, *lists: list[tuple[int, int, int]]) -> list[list[
     return [[(number[s], k, number[e]) for s, k, e in spans] for spans in lists]
 
 
-def secrets(text: str, raw: bytes | None = None, most: int = MOST_DECODED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans) of a text, each (start, index of the kind, end), in order."""
-    raw = text.encode("utf-8", "replace") if raw is None else raw
+def unwrapped(raw: bytes, most: int = MOST_DECODED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
+    """(base spans, all spans, whether the text was unwrapped to the end) of a text in UTF-8, spans as (start, index of the kind, end), in order."""
     base = sorted(scan(raw))
-    every, seen, room = set(base), set(), most
-    work = [Layer(raw, lambda *span: span, b"")]
+    every, seen, room = set(base), set(), Room(most)
+    work = [unwrap(Layer(raw, lambda *span: span, b""), room)]
     while work:
-        layer = work.pop()
-        if layer.place or layer.escapes is not None:
-            mark = layer.key()
-            if mark in seen:
-                continue
-            seen.add(mark)
-            every.update((s, k, e) for (a, k, b) in scan(layer.raw) for s, e in [layer.outer(a, b)])
-        for inner in unwrap(layer, room):
-            room -= len(inner.raw)
-            if inner.raw and room > 0:
-                work.append(inner)
-    return tuple(_in_characters(raw, base, sorted(every)))
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not layer.raw or (mark := layer.key()) in seen or not room.take(len(layer.raw)):
+            continue
+        seen.add(mark)
+        every.update((s, k, e) for (a, k, b) in scan(layer.raw) for s, e in [layer.outer(a, b)])
+        work.append(unwrap(layer, room))
+    return *_in_characters(raw, base, sorted(every)), room.whole
+
+
+def secrets(text: str, raw: bytes | None = None, most: int = MOST_DECODED) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(base spans, all spans) of a text, each (start, index of the kind, end), in order."""
+    return unwrapped(text.encode("utf-8", "replace") if raw is None else raw, most)[:2]
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, base (array of kind, start, end), spans (array, those of inner layers included) of every row of docs.
+    """doc_id, base (array of kind, start, end), spans (array, those of inner layers included), whole of every row of docs.
 
     A null text is empty and has no spans. A null doc_id stays null. Repeated rows give repeated
-    results; an empty table an empty one. Spans count code points; ends are exclusive.
+    results; an empty table an empty one. whole is false where layers may be left (see above). Spans count code points; ends are exclusive.
     """
     arrow_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_bytes(text).alias("body"))
@@ -299,12 +349,13 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [secrets(x.decode("utf-8", "replace"), x) for x in b.column("body").to_pylist()]
+            found = [unwrapped(x) for x in b.column("body").to_pylist()]
             columns = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in f[i]] for f in found], span) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "base", "spans"])
+            whole = pa.array([f[2] for f in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, whole], names=["doc_id", "base", "spans", "whole"])
 
     kind = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long"))
-    return source.mapInArrow(run, source.drop("body").schema.add("base", kind).add("spans", kind))
+    return source.mapInArrow(run, source.drop("body").schema.add("base", kind).add("spans", kind).add("whole", "boolean"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +365,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS bigint) AS n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), "whole")
 
 
 QUERIES = {"op7_secret_scan": op7_secret_scan}

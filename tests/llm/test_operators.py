@@ -318,6 +318,26 @@ def test_binary_layers():
         assert all(2 <= s < e <= 2 + len(x) for s, _, e in every)
 
 
+def test_long_layers_are_whole_or_marked(spark):
+    import base64
+    import gzip
+    from urllib.parse import quote
+
+    inner, noise = "my password = hunter22x!", b"lorem ipsum " * 3_000_000
+    nested = base64.b64encode(base64.b64encode(inner.encode())).decode()
+    long = base64.b64encode(gzip.compress(noise + nested.encode() + noise[:5_000_000])).decode()
+    deep = "x" * 9_000_000 + quote(quote(quote(quote(" " + inner, safe=""))))
+    for text in (f"{long} {nested}", deep):
+        base, every, whole = secret_scan.unwrapped(text.encode())
+        assert not base and len(every) == 1 + (text[:9] != deep[:9]) and whole
+    at = secret_scan.unwrapped(long.encode(), 1 << 20)
+    assert at == ([], [], False)
+    run = base64.b64encode(gzip.compress(b"A" * (3 * secret_scan.WINDOW))).decode()
+    assert not secret_scan.unwrapped(run.encode())[2]
+    rows = spark.createDataFrame([(1, "plain"), (2, run)], "doc_id long, text string")
+    assert {r.doc_id: r.whole for r in secret_scan.scan_secrets(rows).collect()} == {1: True, 2: False}
+
+
 def test_cycles_and_bombs_end():
     import base64
     import gzip
