@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import os
+import tempfile
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,16 +19,58 @@ def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=[f"__{c}" for c in features], outputCol="features").transform(plain).drop(*[f"__{c}" for c in features])
 
 
-def train_pruner(pairs: DataFrame, features: list[str], seed: int = 7, rounds: int = 20) -> GBTClassificationModel:
+def _checkpoints(spark: SparkSession) -> None:
+    """A folder in which long fits cut their lineage: spark.checkpoint.dir, or one of our own where it is unset."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"tessera-{os.getuid()}"))
+
+
+def train_pruner(pairs: DataFrame, features: list[str], seed: int = 7, rounds: int = 200) -> GBTClassificationModel:
     """Trees of depth 6 (about 64 leaves) on context features and the label y."""
+    _checkpoints(pairs.sparkSession)
     gbt = GBTClassifier(labelCol="y", maxDepth=6, maxIter=rounds, stepSize=0.1, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="0.9", seed=seed)
     return gbt.fit(_vectors(pairs, features).select("features", F.col("y").cast("double").alias("y")))
 
 
-def train_matcher(pairs: DataFrame, features: list[str], tune: str = "is_tune", seed: int = 7, rounds: int = 40) -> GBTClassificationModel:
-    """Deeper trees; boosting stops early by the loss on the rows marked in the column tune."""
-    gbt = GBTClassifier(labelCol="y", maxDepth=7, maxIter=rounds, stepSize=0.05, minInstancesPerNode=10, subsamplingRate=0.8, featureSubsetStrategy="0.8", validationIndicatorCol=tune, seed=seed)
-    return gbt.fit(_vectors(pairs, features).select("features", F.col("y").cast("double").alias("y"), F.col(tune)))
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(the number of trees with the least loss, as far as one looks; whether so many rounds without a gain came after it)."""
+    if any(map(math.isnan, losses)):
+        return len(losses), True  # no rows to measure on
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model after so many rounds."""
+    java, gateway = model._java_obj, SparkSession.active().sparkContext._gateway
+    ml = gateway.jvm.org.apache.spark.ml
+    trees, weights = gateway.new_array(ml.regression.DecisionTreeRegressionModel, n), gateway.new_array(gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:n], java.treeWeights()[:n], strict=True)):
+        trees[i], weights[i] = tree, weight
+    made = ml.classification.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), java.numClasses())
+    return GBTClassificationModel(java.copyValues(made, java.extractParamMap()))
+
+
+def train_matcher(pairs: DataFrame, features: list[str], tune: str = "is_tune", seed: int = 7, rounds: int = 600, patience: int = 50) -> GBTClassificationModel:
+    """Deeper trees; boosting stops once the loss on the rows marked in the column tune has not fallen for so many
+    rounds, and the trees up to the least loss are kept. Fits start anew with more rounds until that is so:
+    the first trees of a longer fit are those of a shorter one."""
+    _checkpoints(pairs.sparkSession)
+    rows = _vectors(pairs, features).select("features", F.col("y").cast("double").alias("y"), F.col(tune))
+    learn, held = rows.where(~F.col(tune)), rows.where(tune)
+    gbt = GBTClassifier(labelCol="y", maxDepth=7, stepSize=0.05, minInstancesPerNode=10, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+    n = min(rounds, 3 * patience)
+    while True:
+        model = gbt.copy({gbt.maxIter: n}).fit(learn)
+        best, stopped = best_round(model.evaluateEachIteration(held), patience)
+        if stopped or n == rounds:
+            return first_trees(model, best)
+        n = min(rounds, 2 * n)
 
 
 def score(pairs: DataFrame, model: GBTClassificationModel, features: list[str], out: str) -> DataFrame:

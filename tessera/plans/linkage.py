@@ -23,7 +23,7 @@ class Settings:
     beta: float = 0.5
     recall_kept: float = 0.995
     most_candidates: int = 12
-    most_training: int = 200_000
+    most_training: int = 400_000
     seed: int = 7
     fraction: float = 1.0
 

@@ -1,5 +1,6 @@
 """Files, stages, streams and the whole linkage."""
 
+import inspect
 import json
 
 import pytest
@@ -101,6 +102,22 @@ def test_train_and_predict(spark, raw, tmp_path):
     assert models.load(f"{tmp_path}/matcher").getNumTrees > 0
 
 
+def test_boosting_has_patience(spark):
+    assert models.best_round([5, 4, 4.5, 3, 3.5, 3.2, 2], 2) == (4, True) and models.best_round([5, 4, 4.5, 3], 2) == (4, False)
+    rows = [(float(i % 20), float(i % 3), int(i % 20 + 9 * (i % 3) > 17), i % 5 == 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, y int, is_tune boolean")
+    long = models.train_matcher(df, ["a", "b"], rounds=12, patience=12)
+    short = models.first_trees(long, 5)
+    assert 5 < long.getNumTrees <= 12 and short.getNumTrees == 5 and short.treeWeights == long.treeWeights[:5]
+    assert models.score(df, short, ["a", "b"], "p").where("p > 0.5 AND y = 1").count() > 0
+
+
+def test_training_has_the_rounds_and_rows_of_the_reference():
+    rounds = [inspect.signature(f).parameters["rounds"].default for f in (models.train_pruner, models.train_matcher)]
+    assert rounds == [200, 600] and inspect.signature(models.train_matcher).parameters["patience"].default == 50
+    assert linkage.Settings().most_training == 400_000
+
+
 def test_streaming(spark, raw, tmp_path):
     from tessera.streaming import incremental
 
