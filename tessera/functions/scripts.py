@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import read_text, write_text
 from .textnorm import strip_accents
 
 NON_LATIN = r"[^\x00-\x7FÀ-ɏ‘-‟]"
@@ -99,11 +100,10 @@ def coverage(names: DataFrame, dictionary: DataFrame, name: str = "native") -> D
 
 
 def save_dictionary(dictionary: DataFrame, path: str) -> None:
-    """A JSON file on the driver; the dictionary is a vocabulary, far smaller than the records."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({r.native: r.latin for r in dictionary.orderBy("native").toLocalIterator()}, f, ensure_ascii=False, sort_keys=True)
+    """A JSON file in any file system that Spark writes; the dictionary is a vocabulary, far smaller than the records."""
+    words = {r.native: r.latin for r in dictionary.orderBy("native").toLocalIterator()}
+    write_text(dictionary.sparkSession, path, json.dumps(words, ensure_ascii=False, sort_keys=True))
 
 
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    with open(path, encoding="utf-8") as f:
-        return spark.createDataFrame([*json.load(f).items()], "native string, latin string")
+    return spark.createDataFrame([*json.loads(read_text(spark, path)).items()], "native string, latin string")

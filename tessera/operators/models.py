@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -13,21 +11,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
 
 def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
     plain = df.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in features})
     return VectorAssembler(inputCols=[f"__{c}" for c in features], outputCol="features").transform(plain).drop(*[f"__{c}" for c in features])
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A folder in which long fits cut their lineage: spark.checkpoint.dir, or one of our own where it is unset."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"tessera-{os.getuid()}"))
-
-
 def train_pruner(pairs: DataFrame, features: list[str], seed: int = 7, rounds: int = 200) -> GBTClassificationModel:
     """Trees of depth 6 (about 64 leaves) on context features and the label y."""
-    _checkpoints(pairs.sparkSession)
+    shared_dir(pairs.sparkSession)  # long fits cut their lineage there
     gbt = GBTClassifier(labelCol="y", maxDepth=6, maxIter=rounds, stepSize=0.1, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="0.9", seed=seed)
     return gbt.fit(_vectors(pairs, features).select("features", F.col("y").cast("double").alias("y")))
 
@@ -60,7 +54,7 @@ def train_matcher(pairs: DataFrame, features: list[str], tune: str = "is_tune",
     """Deeper trees; boosting stops once the loss on the rows marked in the column tune has not fallen for so many
     rounds, and the trees up to the least loss are kept. Fits start anew with more rounds until that is so:
     the first trees of a longer fit are those of a shorter one."""
-    _checkpoints(pairs.sparkSession)
+    shared_dir(pairs.sparkSession)  # long fits cut their lineage there
     rows = _vectors(pairs, features).select("features", F.col("y").cast("double").alias("y"), F.col(tune))
     learn, held = rows.where(~F.col(tune)), rows.where(tune)
     gbt = GBTClassifier(labelCol="y", maxDepth=7, stepSize=0.05, minInstancesPerNode=10, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)

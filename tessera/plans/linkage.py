@@ -12,7 +12,7 @@ from ..functions.scripts import fit_dictionary, load_dictionary, save_dictionary
 from ..functions.textnorm import normalize_records
 from ..operators import blocking, context, decide, features, metrics, models, quality, retrieve, sampling
 from ..sources import stages, tsv
-from ..sources.scratch import saved
+from ..sources.scratch import intermediates, read_text, saved, write_text
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,9 @@ class Settings:
     recall_kept: float = 0.995
     most_candidates: int = 12
     most_training: int = 400_000
+    pruner_rounds: int = 200
+    matcher_rounds: int = 600
+    patience: int = 50
     seed: int = 7
     fraction: float = 1.0
 
@@ -60,6 +63,11 @@ def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 def train(raw: DataFrame, truth: DataFrame, folder: str, settings: Settings = Settings()) -> dict:
     """Fit dictionary, pruner and matcher, tune the threshold, write all of them to folder; the report of the validation fold."""
+    with intermediates(raw.sparkSession):
+        return _train(raw, truth, folder, settings)
+
+
+def _train(raw: DataFrame, truth: DataFrame, folder: str, settings: Settings) -> dict:
     spark = raw.sparkSession
     s1_raw, t_raw = raw.where("entity_id LIKE 'S1-%'"), raw.where("entity_id NOT LIKE 'S1-%'")
     if settings.fraction < 1:
@@ -71,13 +79,13 @@ def train(raw: DataFrame, truth: DataFrame, folder: str, settings: Settings = Se
     save_dictionary(dictionary, f"{folder}/dictionary.json")
     s1, targets = prepare(s1_raw.unionByName(t_raw), dictionary)
     pairs = saved(labelled(candidates(s1, targets), truth).join(subsets, "s1"), "labelled")
-    pruner = models.train_pruner(pairs.where("role = 'train'"), features.CONTEXT, settings.seed)
+    pruner = models.train_pruner(pairs.where("role = 'train'"), features.CONTEXT, settings.seed, settings.pruner_rounds)
     models.save(pruner, f"{folder}/pruner")
     scored = saved(models.score(pairs, pruner, features.CONTEXT, "p_prune"), "scored")
     floor = decide.threshold_for_recall(scored.where("role = 'tune'"), "p_prune", settings.recall_kept).first()[0]
     kept = saved(features.featurize(decide.prune(scored, "p_prune", floor, settings.most_candidates).drop("country"), s1, targets), "featured")
     names = [*features.CONTEXT, *features.PAIR]
-    matcher = models.train_matcher(kept.where("role <> 'val'").withColumn("is_tune", F.col("role") == "tune"), names, seed=settings.seed)
+    matcher = models.train_matcher(kept.where("role <> 'val'").withColumn("is_tune", F.col("role") == "tune"), names, seed=settings.seed, rounds=settings.matcher_rounds, patience=settings.patience)
     models.save(matcher, f"{folder}/matcher")
     final = saved(models.score(kept, matcher, names, "p").select("s1", "t", "p", "role"), "matched")
 
@@ -95,18 +103,15 @@ def train(raw: DataFrame, truth: DataFrame, folder: str, settings: Settings = Se
         "blocking": metrics.blocking_report(val, val_truth, val_ids, targets.count(), settings.beta).first().asDict(),
         "importance": models.importance(matcher, names)[:20], "settings": asdict(settings),
     }
-    with open(f"{folder}/decision.json", "w", encoding="utf-8") as f:
-        json.dump({"match_threshold": best.threshold, "prune_threshold": floor, "features": names}, f)
-    with open(f"{folder}/report.json", "w", encoding="utf-8") as f:
-        json.dump(report, f)
+    write_text(spark, f"{folder}/decision.json", json.dumps({"match_threshold": best.threshold, "prune_threshold": floor, "features": names}))
+    write_text(spark, f"{folder}/report.json", json.dumps(report))
     return report
 
 
 def predict(raw: DataFrame, folder: str, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidate lists, match lists, rule violations) with the models in folder. Assignment is over all targets."""
     spark = raw.sparkSession
-    with open(f"{folder}/decision.json", encoding="utf-8") as f:
-        decision = json.load(f)
+    decision = json.loads(read_text(spark, f"{folder}/decision.json"))
     s1, targets = prepare(raw, load_dictionary(spark, f"{folder}/dictionary.json"))
     scored = models.score(candidates(s1, targets), models.load(f"{folder}/pruner"), features.CONTEXT, "p_prune")
     kept = saved(decide.prune(scored, "p_prune", decision["prune_threshold"], settings.most_candidates), "kept")
@@ -120,11 +125,12 @@ def predict(raw: DataFrame, folder: str, settings: Settings = Settings()) -> tup
 
 def write_predictions(raw: DataFrame, folder: str, out: str) -> None:
     """Both id-list files; nothing is written as a result if a rule is broken."""
-    cands, matches, checks = predict(raw, folder)
-    if broken := checks.where("violations > 0").collect():
-        raise ValueError(f"outputs break rules: {[(r.rule, r.violations) for r in broken]}")
-    tsv.write_tsv(cands, f"{out}/candidate_pairs.tsv")
-    tsv.write_tsv(matches, f"{out}/matching_results.tsv")
+    with intermediates(raw.sparkSession):
+        cands, matches, checks = predict(raw, folder)
+        if broken := checks.where("violations > 0").collect():
+            raise ValueError(f"outputs break rules: {[(r.rule, r.violations) for r in broken]}")
+        tsv.write_tsv(cands, f"{out}/candidate_pairs.tsv")
+        tsv.write_tsv(matches, f"{out}/matching_results.tsv")
 
 
 def cached_records(spark: SparkSession, raw: DataFrame, folder: str, inputs: object) -> DataFrame:
