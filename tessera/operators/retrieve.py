@@ -32,13 +32,15 @@ def top_k(scores: DataFrame, score: str, by: str, k: int, name: str, min_score:
 
 
 def channel_scores(s1: DataFrame, targets: DataFrame, save=lambda df, name: df) -> DataFrame:
-    """s1, t, name_cos, addr_cos, blend of every pair within a block that shares a feature. save may write the weights, which both sides of a join read."""
+    """s1, t, name_cos, addr_cos, blend of every pair within a block with a score above MIN_SCORE. save may write the weights, which both sides of a join read."""
     records = s1.where("block <> ''").unionByName(targets.where("block <> ''"), allowMissingColumns=True)
     corpus = ["country", "block"]
     names = pair_scores(save(tfidf(records, trigrams(F.col("name_nospace")), corpus), "weights"), corpus, "name_cos")
     addresses = pair_scores(save(tfidf(records, address_features(F.col("addr"), F.col("addr_nums")), corpus), "weights"), corpus, "addr_cos")
     both = names.join(addresses, ["s1", "t"], "full").select("s1", "t", F.coalesce("name_cos", F.lit(0.0)).alias("name_cos"), F.coalesce("addr_cos", F.lit(0.0)).alias("addr_cos"))
-    return both.withColumn("blend", NAME_SHARE * F.col("name_cos") + (1 - NAME_SHARE) * F.col("addr_cos"))
+    # No list takes a pair whose scores are all at most MIN_SCORE, and a blend is at most the larger of its two.
+    some = both.where(F.greatest("name_cos", "addr_cos") > MIN_SCORE)
+    return some.withColumn("blend", NAME_SHARE * F.col("name_cos") + (1 - NAME_SHARE) * F.col("addr_cos"))
 
 
 def fallback_scores(s1: DataFrame, targets: DataFrame, save=lambda df, name: df) -> DataFrame:

@@ -27,8 +27,8 @@ def sample_world(s1: DataFrame, targets: DataFrame, truth: DataFrame | None, fra
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """n rows without replacement, the same on every run: the least by a hash of key and seed."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """n rows without replacement, the same on every run and engine: the least by a digest of key and seed."""
+    return df.orderBy(F.md5(F.concat(F.col(key), F.lit(f":{seed}"))), F.col(key)).limit(n)
 
 
 def entity_subsets(s1: DataFrame, most: int, seed: int = 7) -> DataFrame:

@@ -158,7 +158,7 @@ def tfidf(name: str, docs: str, features: str, corpus: str, capped: bool = True)
   {name}_df AS (SELECT {corpus}, f, count(*) AS df FROM {name}_tf GROUP BY ALL),
   {name}_idf AS (SELECT x.*, ln((1 + n) / (1 + df)) + 1 AS idf FROM {name}_df x JOIN {name}_n y ON {join} WHERE df >= {LEAST_DF} {cap}),
   {name}_v AS (SELECT x.*, (1 + ln(tf)) * idf AS v FROM {name}_tf x JOIN {name}_idf y ON {join} AND x.f = y.f),
-  {name} AS (SELECT {corpus}, entity_id, f, v / sqrt(sum(v * v) OVER (PARTITION BY {corpus}, entity_id)) AS w FROM {name}_v)"""
+  {name} AS MATERIALIZED (SELECT {corpus}, entity_id, f, v / sqrt(sum(v * v) OVER (PARTITION BY {corpus}, entity_id)) AS w FROM {name}_v)"""
 
 
 def scores(name: str, weights: str, corpus: str, score: str) -> str:
@@ -176,7 +176,7 @@ WEIGHTS = f"""{BLOCKS},
 SCORES = f"""{WEIGHTS},
   {scores('name_s', 'name_w', 'country, block', 'name_cos')},
   {scores('addr_s', 'addr_w', 'country, block', 'addr_cos')},
-  scores AS (SELECT *, 0.6::DOUBLE * name_cos + (1 - 0.6::DOUBLE) * addr_cos AS blend FROM
+  scores AS MATERIALIZED (SELECT *, 0.6::DOUBLE * name_cos + (1 - 0.6::DOUBLE) * addr_cos AS blend FROM
     (SELECT s1, t, coalesce(name_cos, 0) AS name_cos, coalesce(addr_cos, 0) AS addr_cos FROM name_s FULL JOIN addr_s USING (s1, t)))"""
 FALLBACK = f"""{{before}},
   lost_docs AS (SELECT {COLUMNS} FROM s1 UNION ALL SELECT {COLUMNS} FROM targets WHERE block = ''),
@@ -200,7 +200,7 @@ def _lists() -> str:
 
 RETRIEVED = f"""{FALLBACK.format(before=SCORES)},
   listed AS (SELECT s1, t, {', '.join(f'coalesce(max({n}), -1)::INT AS {n}' for n in retrieve.RANKS)} FROM ({_lists()}) GROUP BY ALL),
-  retrieved AS (SELECT listed.*, name_cos, addr_cos, true AS same_block FROM listed JOIN scores USING (s1, t)
+  retrieved AS MATERIALIZED (SELECT listed.*, name_cos, addr_cos, true AS same_block FROM listed JOIN scores USING (s1, t)
     UNION ALL SELECT s1, t, -1, r::INT, -1, -1, -1, -1, name_cos, NULL, false FROM ({top('lost_s', 'name_cos', 't', 2, 'r')}) JOIN lost_s USING (s1, t))"""
 CONTEXT = f"""{RETRIEVED},
   ret AS (SELECT *, 0.6::DOUBLE * coalesce(name_cos, 0) + 0.4::DOUBLE * coalesce(addr_cos, 0) AS ret_score FROM retrieved),

@@ -127,7 +127,12 @@ def sample_world(spark, d):
     return s1.select("entity_id").unionByName(targets.select("entity_id"))
 
 
-@query()
+SUBSET = "SELECT entity_id, role FROM (SELECT * FROM s WHERE role = '{role}' ORDER BY md5(entity_id || ':7'), entity_id LIMIT 100)"
+
+
+@query(f"""WITH {duck.RAW}, f AS (SELECT entity_id, cast(substr(entity_id, 4) AS bigint) % 5 AS fold FROM raw WHERE entity_id LIKE 'S1-%'),
+  s AS (SELECT entity_id, CASE fold WHEN 0 THEN 'val' WHEN 4 THEN 'tune' ELSE 'train' END AS role FROM f)
+  {' UNION ALL '.join(SUBSET.format(role=r) for r in ('val', 'tune', 'train'))}""")
 def entity_subsets(spark, d):
     return sampling.entity_subsets(raw(spark, d).where("entity_id LIKE 'S1-%'"), 100)
 
@@ -203,8 +208,7 @@ def dict_coverage(spark, d):
 @query()
 def transliterate(spark, d):
     pairs = native_pairs(spark, d)
-    some = scripts.fit_dictionary(pairs.where("k % 2 = 0"))
-    return scripts.translate_names(pairs.select(F.col("k").alias("entity_id"), F.col("native").alias("business_name")), some).select("entity_id", "rendered")
+    return scripts.translate_names(pairs.select(F.col("k").alias("entity_id"), F.col("native").alias("business_name")), scripts.fit_dictionary(pairs)).select("entity_id", "rendered")
 
 
 # Blocks
@@ -264,8 +268,9 @@ def _top(channel: str) -> None:
         return retrieve.merged([forward, back], ["fwd", "rev"]).join(scores.select("s1", "t", *r(col)), ["s1", "t"])
 
     QUERIES[f"topk_{channel}"] = run
-    SQL[f"topk_{channel}"] = f"""WITH {duck.SCORES}, a AS ({duck.top('scores', col, 's1', retrieve.FORWARD[channel], 'fwd')}), b AS ({duck.top('scores', col, 't', retrieve.REVERSE[channel], 'rev')})
-      SELECT s1, t, coalesce(fwd, -1)::INT AS fwd, coalesce(rev, -1)::INT AS rev, round({col}, 4) AS {col} FROM a FULL JOIN b USING (s1, t) JOIN scores USING (s1, t)"""
+    best = [f"SELECT s1, t, {col}, {{0}} AS fwd, {{1}} AS rev FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round({col}, 6) DESC, {other}) - 1 AS r FROM scores WHERE {col} > {retrieve.MIN_SCORE}) WHERE r < {k}" for by, other, k in (("s1", "t", retrieve.FORWARD[channel]), ("t", "s1", retrieve.REVERSE[channel]))]
+    SQL[f"topk_{channel}"] = f"""WITH {duck.SCORES}
+      SELECT s1, t, max(fwd)::INT AS fwd, max(rev)::INT AS rev, round(any_value({col}), 4) AS {col} FROM ({best[0].format('r', -1)} UNION ALL {best[1].format(-1, 'r')}) GROUP BY s1, t"""
 
 
 for _c in retrieve.CHANNELS:
@@ -295,18 +300,15 @@ def context_features(spark, d):
 # Pair features
 
 
-def true_pairs(spark, d):
-    """Records of true pairs and of pairs of neighbours."""
-    rows = saved(norm(spark, d), "records")
-    s1, targets = rows.where("src = 1"), rows.where("src > 1")
-    near = F.abs(sampling.id_bucket(F.col("s1"), 10**9) - sampling.id_bucket(F.col("t"), 10**9))
-    ids = s1.select(F.col("entity_id").alias("s1"), F.explode(F.sequence(sampling.id_bucket(F.col("entity_id"), 10**9), sampling.id_bucket(F.col("entity_id"), 10**9) + 1)).alias("n"))
-    t = targets.select(F.col("entity_id").alias("t"), sampling.id_bucket(F.col("entity_id"), 10**9).alias("n"))
-    return features.with_records(ids.join(t, "n").where(near <= 1).select("s1", "t"), s1, targets), s1, targets
+def candidate_pairs(spark, d):
+    """Retrieved pairs with the fields of both records; S1 records; targets."""
+    s1, targets = sides(spark, d)
+    pairs = saved(retrieve.retrieve(s1, targets, saved).select("s1", "t"), "pairs")
+    return features.with_records(pairs, s1, targets), s1, targets
 
 
-PAIRED = f"""{duck.NORM}, paired AS (SELECT a.entity_id AS s1, b.entity_id AS t, a.country AS country, {', '.join(f'a.{c} AS a_{c}, b.{c} AS b_{c}' for c in features.FIELDS)}, b.src AS b_src
-  FROM records a JOIN records b ON b.k BETWEEN a.k AND a.k + 1 WHERE a.src = 1 AND b.src > 1)"""
+PAIRED = f"""{duck.RETRIEVED}, paired AS (SELECT r.s1, r.t, a.country AS country, {', '.join(f'a.{c} AS a_{c}, b.{c} AS b_{c}' for c in features.FIELDS)}, b.src AS b_src
+  FROM retrieved r JOIN records a ON a.entity_id = r.s1 JOIN records b ON b.entity_id = r.t)"""
 
 
 def _words(c: str) -> str:
@@ -329,7 +331,7 @@ JACCARDS = ("num_jac", "legal_jac", "state_eq")
   len(string_split(a_name_core, ' '))::INT AS n_len_a, len(string_split(b_name_core, ' '))::INT AS n_len_b, (b_name_alt <> '')::INT AS b_alias, (b_src = 3)::INT AS b_src3,
   (string_split(a_name_core, ' ')[1] = string_split(b_name_core, ' ')[1])::INT AS first_tok_eq FROM paired""")
 def set_features(spark, d):
-    return features.set_features(true_pairs(spark, d)[0]).select("s1", "t", *r(*JACCARDS), *SETS)
+    return features.set_features(candidate_pairs(spark, d)[0]).select("s1", "t", *r(*JACCARDS), *SETS)
 
 
 IDF = f"""{PAIRED}, idf_n AS (SELECT country, count(*) AS n FROM records GROUP BY country),
@@ -352,24 +354,24 @@ IDF_COLUMNS = ("n_idf_cos", "n_idf_a_in_b", "n_idf_b_in_a")
   SELECT s1, t, round(coalesce(dot / nullif(sqrt(aa * bb), 0), 0), 4) AS n_idf_cos, round(coalesce(ca / nullif(aa, 0), 0), 4) AS n_idf_a_in_b, round(coalesce(cb / nullif(bb, 0), 0), 4) AS n_idf_b_in_a
   FROM paired LEFT JOIN sums USING (s1, t)""")
 def idf_overlap(spark, d):
-    pairs, s1, targets = true_pairs(spark, d)
-    return features.idf_overlap(pairs, features.name_idf(s1, targets)).select("s1", "t", *r(*IDF_COLUMNS))
+    pairs, s1, targets = candidate_pairs(spark, d)
+    return features.idf_overlap(pairs, features.name_weights(s1, targets)).select("s1", "t", *r(*IDF_COLUMNS))
 
 
 @query(f"WITH {PAIRED} SELECT s1, t, round(jaro_winkler_similarity(a_name_nospace, b_name_nospace), 4) AS n_nospace_jw FROM paired WHERE a_name_nospace <> '' AND b_name_nospace <> ''")
 def jaro_winkler(spark, d):
-    pairs = true_pairs(spark, d)[0].where("a_name_nospace <> '' AND b_name_nospace <> ''")
+    pairs = candidate_pairs(spark, d)[0].where("a_name_nospace <> '' AND b_name_nospace <> ''")
     return pairs.select("s1", "t", F.round(similarity.jaro_winkler_udf("a_name_nospace", "b_name_nospace"), 4).alias("n_nospace_jw"))
 
 
 @query(f"WITH {PAIRED} SELECT s1, t, round(CASE WHEN greatest(length(a_name_core), length(b_name_core)) = 0 THEN 1.0 ELSE 1 - levenshtein(a_name_core, b_name_core) / greatest(length(a_name_core), length(b_name_core)) END, 4) AS n_lev FROM paired")
 def levenshtein_sim(spark, d):
-    return true_pairs(spark, d)[0].select("s1", "t", F.round(similarity.levenshtein_similarity(F.col("a_name_core"), F.col("b_name_core")), 4).alias("n_lev"))
+    return candidate_pairs(spark, d)[0].select("s1", "t", F.round(similarity.levenshtein_similarity(F.col("a_name_core"), F.col("b_name_core")), 4).alias("n_lev"))
 
 
 @query()
 def string_features(spark, d):
-    return features.string_features(true_pairs(spark, d)[0]).select("s1", "t", *r(*similarity.NAMES, "n_lev"))
+    return features.string_features(candidate_pairs(spark, d)[0]).select("s1", "t", *r(*similarity.NAMES, "n_lev"))
 
 
 # Decisions and evaluation
