@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import delete, new_path, shared_dir
+
 #: White space in every contract: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -24,23 +23,14 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), f"tessera-{os.getuid()}")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     kept = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")  # nothing reads this plan's shuffle files again
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,12 +39,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete a table made by written() that nothing reads any more."""
     spark = df.sparkSession
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     base = shared_dir(spark).rpartition(":")[2]
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if base in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(hadoop).delete(path, True)
+            delete(spark, folder)
 
 
 def text_of(column: str = "text") -> Column:
