@@ -1,8 +1,9 @@
 """Operator 9, exact dedup: distributed most-significant-digit radix partitioning.
 
-Documents start in one group and are split by successive digits of their UTF-8 bytes. A digit is a
-run of bytes, 256 at first and four times as many in each round, so a text of n bytes needs about
-log4(n / 256) rounds. A group that a round leaves with one row, or whose texts have ended, is
+Documents start in one group, and each round splits every group by the next digit of its texts'
+UTF-8 bytes: a row is dealt by the number of its group and that digit alone. A digit is a run of
+bytes, 256 at first and three times as many as all before in each round, so a text of n bytes needs
+about log4(n / 256) rounds. A group that a round leaves with one row, or whose texts have ended, is
 finished. Only rows of unfinished groups are read by the next round. No digest decides equality.
 
 Each round is one hash aggregation (with partial sums on the map side, so a group of copies that
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_of_ties, table, text_of, written
+from .common import discard, one_of_ties, table, text_of, written
 
 FIRST_DIGIT, GROWTH = 256, 4
 
@@ -30,23 +31,24 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", car
     """
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(0)
     # The sum is only a column of the result; it is never compared.
-    left = docs.select(F.col(f"`{doc_id}`").alias("id"), F.sha2(text_of(text).cast("binary"), 256).alias("sha"), text_of(text).cast("binary").alias("body"), carried.alias("row"))
-    reach, done = FIRST_DIGIT, []
+    left = docs.select(F.lit(0).cast("long").alias("parent"), F.col(f"`{doc_id}`").alias("id"), F.sha2(text_of(text).cast("binary"), 256).alias("sha"), text_of(text).cast("binary").alias("body"), carried.alias("row"))
+    passed, reach, done = 0, FIRST_DIGIT, []
     while True:
-        # A group is named by the bytes that its texts share so far: its parent's name and one more digit.
-        cut = left.withColumn("name", F.substring("body", 1, reach))
-        # Written, so that the join reads both sides from a shuffle of their own: only such a join can be split by size.
-        groups = written(cut.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where("n > 1"), "radix-groups")
+        cut = left.withColumn("digit", F.substring("body", passed + 1, reach - passed))
+        # Written, so that groups have numbers, and so that the join reads both sides from a shuffle of their own: only such a join can be split by size.
+        split = cut.groupBy("parent", "digit").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where("n > 1")
+        groups = written(split.withColumn("child", F.monotonically_increasing_id()), "radix-groups")
         ended = F.col("n").isNull() | (F.length("body") < reach)
         out = written(
-            cut.join(groups, "name", "left").select("id", "sha", "row", F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top")).alias("top"), ended.alias("ended"), F.when(~ended, F.col("body")).alias("body")),
+            cut.join(groups, ["parent", "digit"], "left").select("id", "sha", "row", F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top")).alias("top"), ended.alias("ended"), F.col("child").alias("parent"), F.when(~ended, F.col("body")).alias("body")),
             "radix",
         )
+        discard(groups)
         done.append(out.where("ended").select("id", "sha", "row", "n", "top"))
-        left = out.where("not ended").select("id", "sha", "body", "row")
+        left = out.where("not ended").select("parent", "id", "sha", "body", "row")
         if left.isEmpty():
             break
-        reach += reach * (GROWTH - 1)
+        passed, reach = reach, reach * GROWTH
     all_rows = done[0]
     for more in done[1:]:
         all_rows = all_rows.unionByName(more)
