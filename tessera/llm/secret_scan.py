@@ -2,7 +2,9 @@
 
 Every text is a layer of bytes, its UTF-8. A layer is searched for secrets, and these become layers of
 their own on the worklist, until nothing new turns up: the whole layer with its URL escapes replaced,
-the whole layer with its Unicode escapes replaced, what each base64 stretch holds, and, in all but the
+the whole layer with its Unicode escapes replaced, the whole layer without the breaks inside
+wrapped base64, what each base64 stretch holds (also if
+letters before it put it out of step), and, in all but the
 outermost text, what each compressed stream holds. Each layer knows which characters of the outermost text its bytes come from, so what
 is found in it is reported as a span there. A layer with the same bytes from the same places as
 one before adds nothing and is left out; the same bytes from other places are unwrapped again.
@@ -45,6 +47,11 @@ SHORT = dict(zip(b"abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
 STREAM = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?=1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 READ, PIECE = 1 << 16, 1 << 20
 BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 cut into lines: all but the last are long, and what breaks them (with the next line's indent) is no part of it.
+WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}(?:\\?\r?\n|\\r\\n|\\n)[\x20\t>]*)+[A-Za-z0-9+/_-]{2,}={0,2}(?![A-Za-z0-9+/_-])")
+BREAK = re.compile(rb"(?:\\?\r?\n|\\r\\n|\\n)[\x20\t>]*")
+#: Bytes of text, and how many bytes of a path may stand before a stream in base64.
+PRINTED, LEAD = bytes([9, 10, 13, *range(32, 127)]), 256
 #: Bytes that one document's layers may hold together before it is marked, and bytes of a stream to look at together.
 MOST_DECODED, WINDOW = 1 << 30, 1 << 23
 RUN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -271,10 +278,30 @@ def _streams(layer: Layer, room: Room) -> Iterator[Layer]:
             yield Layer(part, lambda *_, whole=whole: whole, _digest("stream", *whole), cut=cut)
 
 
+def _sensible(data: bytes, lead: int) -> bool:
+    """Whether bytes look decoded in the right step: a stream begins among the first ones, or the second half is text."""
+    tail = data[len(data) // 2 :]
+    return STREAM.search(data, 0, lead + 10) is not None or len(tail.translate(None, PRINTED)) * 10 <= len(tail)
+
+
+def _unwrapped(raw: bytes) -> tuple[bytes, Escapes] | None:
+    """The layer without the breaks inside wrapped base64: each is an escape that stands for nothing."""
+    out, spans, at = bytearray(), [], 0
+    for m in WRAPPED.finditer(raw):
+        for x in BREAK.finditer(raw, m.start(), m.end()):
+            out += raw[at : x.start()]
+            at = x.end()
+            spans.append((len(out), len(out), x.start(), at))
+    if not spans:
+        return None
+    return bytes(out + raw[at:]), tuple(np.array(spans, np.int64).T)
+
+
 def _base64(layer: Layer, start: int, stretch: bytes) -> Layer | None:
     bare = stretch.rstrip(b"=")
-    if bare.islower() or bare.isdigit() or len(bare) % 4 == 1:
+    if bare.islower() or bare.isdigit():
         return None
+    bare = bare[: len(bare) - (len(bare) % 4 == 1)]  # a character too many says nothing
     try:
         data = base64.b64decode(bare.replace(b"-", b"+").replace(b"_", b"/") + b"=" * (-len(bare) % 4), validate=True)
     except binascii.Error:
@@ -296,9 +323,17 @@ def unwrap(layer: Layer, room: Room) -> Iterator[Layer]:
         yield layer.replaced(*got)
     if b"\\x" in raw and (got := _escapes(raw, LITERAL)) is not None:
         yield layer.replaced(*got)
+    if (b"\n" in raw or b"\\n" in raw) and (got := _unwrapped(raw)) is not None:
+        yield layer.replaced(*got)
     for m in BASE64.finditer(raw):
-        if (inner := _base64(layer, m.start(), m[0])) is not None:
-            yield inner
+        if (inner := _base64(layer, m.start(), m[0])) is None:
+            continue
+        yield inner
+        if not _sensible(inner.raw, 1):
+            # Letters that stand before base64 without a gap, as those of a path do, put it out of step.
+            for skip in range(1, min(4, len(m[0]) - 15)):
+                if (inner := _base64(layer, m.start() + skip, m[0][skip:])) is not None and _sensible(inner.raw, LEAD):
+                    yield inner
     if layer.place or layer.escapes is not None:
         yield from _streams(layer, room)
 
