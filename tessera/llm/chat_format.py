@@ -14,6 +14,7 @@ the backslash and whatever could be read as a mark; the output is read back to e
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -39,9 +40,16 @@ def unescape(text: str) -> str:
     return _SAFE.sub(lambda m: "\n" if m[1] == "n" else m[1], text)
 
 
+@functools.lru_cache(None)
+def marked(turn: Turn) -> str:
+    """A turn between marks. Kept until the conversation is done, as each of its prefixes is rendered anew."""
+    role, text = turn
+    return f'<turn role="{_ROLE_UNSAFE.sub(lambda m: chr(92) + ("n" if m[0] == chr(10) else m[0]), role)}">\n{escape(text)}</turn>\n'
+
+
 def template(turns: list[Turn]) -> str:
     """The turns between marks, in order."""
-    return "".join(f'<turn role="{_ROLE_UNSAFE.sub(lambda m: chr(92) + ("n" if m[0] == chr(10) else m[0]), role)}">\n{escape(text)}</turn>\n' for role, text in turns)
+    return "".join(map(marked, turns))
 
 
 def read_back(output: str) -> list[Turn]:
@@ -112,6 +120,7 @@ def formatted(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
             for got in b.column("turns").to_pylist():
                 own = [(t["role"], t["text"]) for t in got]
                 output, found, rewrote = spans(own)
+                marked.cache_clear()
                 made.append((len(own), output, [{"start": s, "end": e} for (r, _), (s, e) in zip(own, found, strict=False) if r == learn and not rewrote], rewrote))
             n, output, loss, rewrote = zip(*made, strict=True) if made else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(n, pa.int64()), pa.array(output, pa.string()), pa.array(loss, span), pa.array(rewrote, pa.bool_())], names=["conv_id", "n_turns", "output", "loss_spans", "rewrote"])
