@@ -97,11 +97,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine:
-    """A machine fitted on at most `most` labelled rows, chosen by a hash of the id from those that may be learned from."""
+    """A machine fitted on at most `most` labelled rows, chosen by a hash of the id from those that may be learned from.
+
+    Of documents that repeat an id, the least text counts. What comes to the driver is bounded by `most` vectors.
+    """
     arrow_batches(docs.sparkSession)
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(most)  # bounded, so it may be broadcast
-    source = docs.select("doc_id", F.col("n_chars").cast("long").alias("size"), text_bytes().alias("body")).join(F.broadcast(chosen), "doc_id").drop("doc_id")
+    source = docs.select("doc_id", F.col("n_chars").cast("long").alias("size"), text_bytes().alias("body")).join(F.broadcast(chosen), "doc_id")
+    source = source.groupBy("doc_id").agg(F.min(F.struct("body", "size", "quality")).alias("one")).select("one.size", "one.body", "one.quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = worker_cache("buckets")
