@@ -112,7 +112,7 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 2000) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """EM for a hidden good/bad label: share of good, then each rule's log odds for a good vote, a bad vote, none.
 
     patterns: one row per vote pattern; counts: how many documents have it. Each rule has, for good
@@ -130,11 +130,11 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[fl
         post = np.exp(logs - logs.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
         weight = post * counts[:, None]
-        before = good
+        before = good, chance
         good = float((weight[:, 1].sum() + 8) / (counts.sum() + 10))
         chance = np.einsum("py,prv->yrv", weight, hot) + prior
         chance /= chance.sum(axis=2, keepdims=True)
-        if abs(good - before) < 1e-9:
+        if max(abs(good - before[0]), np.abs(chance - before[1]).max()) < 1e-9:
             break
     odds = np.log(chance[1] / chance[0])
     return good, odds[:, 2], odds[:, 0], odds[:, 1]

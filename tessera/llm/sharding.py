@@ -69,7 +69,7 @@ def descend(key: Column, nodes: tuple[Node, ...]) -> Column:
 
 
 def shard_documents(docs: DataFrame, regions: list[list[int]], text: str = "text", doc_id: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, region of every row.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     Null texts are empty. A null doc_id is a key like any other. Repeated ids share a shard (the id
     and the shards alone decide) and get slots in the order of size and sum; rows equal in all three
