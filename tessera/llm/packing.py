@@ -1,27 +1,35 @@
 """Operator 3, best-fit packing in bulk-synchronous rounds.
 
-Documents become token ids, and pieces of at most `capacity` tokens. Pieces and the gaps left in
-open sequences are kept sorted by size. In each round the pieces of the greatest size left look for
-their successors among the gaps, the least gaps that hold them; those that want the same gap are
-told apart by their rank; pieces that find none open sequences; the gaps shrink; the next round
-follows until no piece is left.
-
-Sizes are whole numbers up to the capacity, so a sorted table of pieces is at most `capacity` runs
-of equal size, and pieces in a run differ only by rank. Ranks are counted where the pieces are made
-and joined up by a running sum over tasks. The sweeps then match whole runs of pieces with whole
-runs of gaps, on tables that the capacity bounds whatever the number of documents, so they run on the
-driver; executors then find the place of each piece from its size and rank alone.
+Documents become token ids, and pieces of at most `capacity` tokens. Pieces and the gaps left in open
+sequences are kept in a table of runs: pieces of one length with successive ranks, sequences of
+successive numbers whose gaps have one size. Ranks are counted where the pieces are made and joined up
+by a running sum over tasks, so the table is written without ever gathering the pieces.
+
+A round takes the pieces of more than half of the greatest length left, and the gaps that can hold one:
+
+- sort: pieces and gaps are dealt out by ranges of size and sorted within each.
+- sweep: in every range at once, pieces from the longest on look for their successor, the least gap
+  that holds them, which keeps what is left of it. Pieces that want the same gaps are told apart by rank.
+- merge: a second sweep matches what the ranges left over, pieces of lower ranges with gaps of higher
+  ones, and opens sequences for pieces that no gap holds.
+- update: gaps shrink, the table is written, and the next round follows until no piece is left.
+
+Sizes are whole numbers up to the capacity, so the table's rows depend on the capacity and not on how
+many documents there are, and rounds are as many as the capacity has binary digits. A last join looks up
+each piece's place by its length and rank, in blocks of ranks, so that no length is too frequent for a task.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -47,7 +55,12 @@ def _byte_signs() -> dict[int, str]:
 
 BYTE_SIGNS = _byte_signs()
 
-PIECES = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("task", T.IntegerType()), ("place", T.LongType()))])
+#: Widths of the ranges of sizes, as a share of the capacity; ranks in a block of the last join.
+RANGES, BLOCK = 16, 8192
+PIECES = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("task", T.IntegerType()), ("place", T.LongType())]
+#: A run. piece: n pieces of a size from the rank first on. gap: n gaps of a size in the sequences from first on. next: n sequences are open.
+#: placed: n pieces of a size from the rank first on are in the sequences from sequence on, per in each, from the offset on.
+RUNS = "kind string, size long, first long, n long, per long, sequence long, offset long"
 
 
 def _stretch_ids(stretches: list[bytes], tokenizer) -> list[bytes]:
@@ -106,9 +119,10 @@ def encode(texts: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, closing_id: int = CLOSING_ID, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
-    """A row per piece: PIECES, and the ids themselves if asked. place counts pieces of equal length within their task."""
+    """A row per piece: doc_id, PIECES, and the ids themselves if asked. place counts pieces of equal length within their task."""
     arrow_batches(docs.sparkSession)
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(text).alias("body"))
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(text).alias("body"))
+    names = ["doc_id", *(n for n, _ in PIECES)]
     closing = np.array([closing_id], "<u4").tobytes()
     step = 4 * capacity
 
@@ -125,7 +139,7 @@ def tokenized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capac
         for b in batches:
             ids, begin = encode(b.column("body"), tools[vocabulary])
             rows = []
-            for doc, first, end in zip(b.column("doc_id").to_pylist(), begin[:-1], begin[1:], strict=True):
+            for doc, (first, end) in enumerate(zip(begin[:-1], begin[1:], strict=True)):
                 own = ids[first:end].tobytes() + closing
                 for k, at in enumerate(range(0, len(own), step)):
                     cut = own[at : at + step]
@@ -134,104 +148,109 @@ def tokenized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capac
                     places[length] = place + 1
                     rows.append((doc, k, at // 4, length, zlib.crc32(cut), task, place, cut))
             columns = [[r[i] for r in rows] for i in range(8)]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=False)]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            arrays = [b.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=False))]
             if with_ids:
                 flat = pa.array(np.frombuffer(b"".join(columns[7]), "<u4").astype(np.int32))
                 ends = np.concatenate(([0], np.cumsum(columns[3]))).astype(np.int32)
                 arrays.append(pa.ListArray.from_arrays(pa.array(ends), flat))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*PIECES.names, *["ids"] * with_ids])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, *["ids"] * with_ids])
 
-    schema = T.StructType([*PIECES.fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])
+    schema = T.StructType([source.schema["doc_id"], *[T.StructField(n, k) for n, k in PIECES], *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])
     return source.mapInArrow(run, schema)
 
 
-class Plan:
-    """Where the pieces of each length go, by their rank: runs of (first rank, first sequence, offset)."""
-
-    def __init__(self) -> None:
-        self.runs: dict[int, list[tuple[int, int, int]]] = {}
-        self.sequences = 0
-
-    @classmethod
-    def best_fit(cls, counts: dict[int, int], capacity: int) -> Plan:
-        """counts: pieces by length. Rounds go from the longest to the shortest; the gaps are runs of sequences by size."""
-        plan = cls()
-        gaps: dict[int, list[tuple[int, int]]] = {}  # size of the gap: runs (first sequence, how many)
-        sizes: list[int] = []  # of the gaps, sorted
-
-        def open_gap(size: int, first: int, n: int) -> None:
-            if size:
-                if size not in gaps:
-                    bisect.insort(sizes, size)
-                    gaps[size] = []
-                gaps[size].append((first, n))
-
-        for length in sorted(counts, reverse=True):
-            left, rank, runs = counts[length], 0, []
-            while left:
-                at = bisect.bisect_left(sizes, length)  # the successor: the least gap that holds the piece
-                if at == len(sizes):
-                    # No gap holds it. A new sequence takes as many pieces of this length as fit, one in each round.
-                    fits = capacity // length
-                    n = -(-left // fits)
-                    first = plan.sequences
-                    plan.sequences += n
-                    for k in range(fits):
-                        m = min(n, left)
-                        if not m:
-                            open_gap(capacity - k * length, first, n)
-                            break
-                        runs.append((rank, first, k * length))
-                        if m < n:
-                            open_gap(capacity - k * length, first + m, n - m)
-                        rank, left, n = rank + m, left - m, m
-                    else:
-                        open_gap(capacity - fits * length, first, n)
-                    continue
+def sweep(runs: list[tuple], capacity: int, opens: bool) -> list[tuple]:
+    """Runs (kind, size, first, n) with pieces matched, from the longest on, with the least gaps that hold them; opens: or else with new sequences.
+
+    Rows as RUNS has them. Pieces of one length go on filling a gap that still holds them, as it is the least one then.
+    """
+    gaps: dict[int, list[tuple[int, int]]] = {}  # size of the gap: runs (first sequence, how many)
+    sizes: list[int] = []  # of the gaps, sorted
+    placed: list[tuple] = []
+    out = []
+    sequences = sum(r[3] for r in runs if r[0] == "next")
+
+    def keep(size: int, first: int, n: int) -> None:
+        if size and n:
+            if size not in gaps:
+                bisect.insort(sizes, size)
+                gaps[size] = []
+            gaps[size].append((first, n))
+
+    for _, size, first, n in sorted((r for r in runs if r[0] == "gap"), key=lambda r: r[2], reverse=True):
+        keep(size, first, n)
+    for _, length, rank, left in sorted((r for r in runs if r[0] == "piece"), key=lambda r: (-r[1], r[2])):
+        while left:
+            at = bisect.bisect_left(sizes, length)  # the successor
+            if at < len(sizes):
                 size = sizes[at]
                 first, n = gaps[size].pop()
-                m = min(n, left)  # ranks decide: the first pieces take the first sequences
-                runs.append((rank, first, capacity - size))
-                if m < n:
-                    gaps[size].append((first + m, n - m))
                 if not gaps[size]:
                     del gaps[size], sizes[at]
-                open_gap(size - length, first, m)
-                rank, left = rank + m, left - m
-            plan.runs[length] = runs
-        return plan
-
-    def arrays(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        return {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in self.runs.items()}
+            elif opens:
+                size, first, n = capacity, sequences, -(-left // (capacity // length))
+                sequences += n
+            else:
+                out.append(("piece", length, rank, left, 0, 0, 0))
+                break
+            per = size // length
+            full = min(n, left // per)
+            if full:
+                placed.append(("placed", length, rank, full * per, per, first, capacity - size))
+                keep(size - per * length, first, full)
+                rank, left = rank + full * per, left - full * per
+            if left and full < n:  # too few are left to fill a gap: the next one takes all of them
+                placed.append(("placed", length, rank, left, left, first + full, capacity - size))
+                keep(size - left * length, first + full, 1)
+                rank, left, full = rank + left, 0, full + 1
+            keep(size, first + full, n - full)
+    out += [("gap", size, first, n, 0, 0, 0) for size, held in gaps.items() for first, n in held]
+    return [*placed, *out, *[("next", 0, 0, sequences, 0, 0, 0)] * any(r[0] == "next" for r in runs)]
+
+
+def swept(runs: DataFrame, key, capacity: int, opens: bool) -> DataFrame:
+    """runs after one sweep within each group of the key, all at once. What is placed passes through."""
+
+    def one(held: pd.DataFrame) -> pd.DataFrame:
+        rows = [*held[["kind", "size", "first", "n"]].itertuples(index=False, name=None)]
+        made = pd.DataFrame(sweep([r for r in rows if r[0] != "placed"], capacity, opens), columns=[x.split()[0] for x in RUNS.split(", ")])
+        return pd.concat([made, held.loc[held["kind"] == "placed", made.columns]])
+
+    return runs.withColumn("__key", key).groupBy("__key").applyInPandas(one, RUNS)
+
+
+def placements(counts: DataFrame, capacity: int) -> DataFrame:
+    """The placed runs of pieces counted by length (length, n)."""
+    none = [F.lit(0).cast("long").alias(c) for c in ("per", "sequence", "offset")]
+    zero = F.lit(0).cast("long")
+    start = counts.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), zero.alias("first"), "n", *none)
+    first = counts.sparkSession.range(1).select(F.lit("next").alias("kind"), zero.alias("size"), zero.alias("first"), zero.alias("n"), *none)
+    state, rounds = written(start.unionByName(first), "pack-runs"), []
+    width, floor = -(-capacity // RANGES), capacity
+    while floor:
+        floor //= 2
+        left = state.where("kind <> 'placed'")
+        takes_part = (F.col("size") > floor) | (F.col("kind") == "next")
+        ranged = swept(left.where(takes_part & (F.col("kind") != "next")), F.floor((F.col("size") - 1) / width), capacity, opens=False)
+        merged = swept(ranged.unionByName(left.where("kind = 'next'")), zero, capacity, opens=True)
+        state = written(merged.unionByName(left.where(~takes_part)), "pack-runs")
+        rounds.append(state.where("kind = 'placed'"))
+    return functools.reduce(DataFrame.unionByName, rounds)
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (a written table) with sequence_id and offset, without task and place."""
-    held = written(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    held = written(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "pack-lengths")
     before = held.selectExpr("length", "task", "sum(n) OVER (PARTITION BY length ORDER BY task) - n AS before")
-    # At most `capacity` rows.
-    counts = {r.length: r.n for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = Plan.best_fit(counts, capacity)
-    runs = pieces.sparkSession.sparkContext.broadcast(plan.arrays())
-    ranked = pieces.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("place")).drop("before", "place", "task")
-    out = [n for n in pieces.columns if n not in ("task", "place")]
-    ranked = ranked.select(*out, "rank")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for size in np.unique(length).tolist():
-                here = length == size
-                ranks, firsts, offsets = runs.value[size]
-                run = np.searchsorted(ranks, rank[here], side="right") - 1
-                sequence[here] = firsts[run] + rank[here] - ranks[run]
-                offset[here] = offsets[run]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in out), pa.array(sequence), pa.array(offset)], names=[*out, "sequence_id", "offset"])
-
-    schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, schema)
+    runs = placements(held.groupBy("length").agg(F.sum("n").alias("n")), capacity)
+    ranked = pieces.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("place")).withColumn("block", F.floor(F.col("rank") / BLOCK))
+    blocks = runs.select("*", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("n") - 1) / BLOCK))).alias("block"))
+    r, p = ranked.alias("r"), blocks.alias("p")
+    at = F.col("r.rank") - F.col("p.first")
+    joined = r.join(p, (F.col("r.length") == F.col("p.size")) & (F.col("r.block") == F.col("p.block")) & at.between(0, F.col("p.n") - 1))
+    kept = [F.col(f"r.{c}") for c in pieces.columns if c not in ("task", "place")]
+    return joined.select(*kept, (F.col("p.sequence") + F.floor(at / F.col("p.per"))).alias("sequence_id"), (F.col("p.offset") + at % F.col("p.per") * F.col("r.length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, closing_id: int = CLOSING_ID, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
