@@ -37,6 +37,20 @@ def test_all_rows_and_no_crash(docs, none, name):
     assert OPERATORS[name](none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["quality", "pack", "lines", "shard", "secrets", "mix", "exact"])
+def test_ids_may_be_strings(docs, name):
+    rows = OPERATORS[name](docs.withColumn("doc_id", docs.doc_id.cast("string"))).collect()
+    assert {r.doc_id for r in rows} == {None if r[0] is None else str(r[0]) for r in ROWS}
+
+
+def test_repeated_ids_do_not_raise_the_training_rows(docs, spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(factorisation.Machine, "fit", lambda self, rows, **_: made.extend(rows))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (7, 1)], "doc_id long, quality int")
+    factorisation.train(docs.unionByName(docs).unionByName(docs), labels)
+    assert len(made) <= 3
+
+
 @pytest.mark.parametrize("keep", [quality_rules.keep_good, exact_dedup.keep_first, simhash.keep_one, mixing.mixed])
 def test_stages_keep_columns(docs, none, keep):
     assert keep(docs).dtypes == docs.dtypes

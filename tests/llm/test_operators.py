@@ -135,25 +135,34 @@ def slow_best_fit(lengths, capacity):
     return len(gaps)
 
 
-def test_plan_against_one_by_one():
-    r = random.Random(3)
-    for _ in range(60):
-        capacity = r.choice([10, 37, 64])
-        lengths = [r.randint(1, capacity) for _ in range(r.randint(0, 200))]
-        plan = packing.Plan.best_fit(Counter(lengths), capacity)
-        assert plan.sequences <= slow_best_fit(lengths, capacity) * 1.02 + 1
-        places = defaultdict(list)
-        for n, (ranks, firsts, offsets) in plan.arrays().items():
-            for rank in range(Counter(lengths)[n]):
-                k = np.searchsorted(ranks, rank, side="right") - 1
-                places[int(firsts[k] + rank - ranks[k])].append((int(offsets[k]), n))
-        assert sorted(places) == [*range(plan.sequences)]
-        for held in places.values():
-            end = 0
-            for offset, n in sorted(held):
-                assert offset == end
-                end += n
-            assert end <= capacity
+@pytest.mark.parametrize("capacity", [10, 64])
+def test_sweeps_against_one_by_one(spark, capacity):
+    r = random.Random(capacity)
+    lengths = [min(capacity, int(r.expovariate(3 / capacity)) + 1) for _ in range(900)] + [capacity // 3] * 400
+    places, rows = Counter(), []
+    for k, n in enumerate(lengths):
+        task = r.randrange(5)
+        rows.append((str(k), n, task, places[n, task]))
+        places[n, task] += 1
+    out = packing.packed(spark.createDataFrame(rows, "doc_id string, length long, task int, place long"), capacity).collect()
+    assert sorted((x.doc_id, x.length) for x in out) == sorted((x[0], x[1]) for x in rows)
+    held = defaultdict(list)
+    for x in out:
+        held[x.sequence_id].append((x.offset, x.length))
+    assert len(held) <= slow_best_fit(lengths, capacity) * 1.01 + 1
+    for own in held.values():
+        end = 0
+        for offset, n in sorted(own):
+            assert offset == end
+            end += n
+        assert end <= capacity
+
+
+def test_a_sweep_takes_the_least_gap():
+    runs = [("gap", 9, 0, 2), ("gap", 5, 2, 1), ("piece", 5, 0, 2), ("piece", 4, 0, 1), ("next", 0, 0, 3)]
+    found = {x[:7] for x in packing.sweep(runs, 10, opens=True) if x[0] == "placed"}
+    assert found == {("placed", 5, 0, 1, 1, 2, 5), ("placed", 5, 1, 1, 1, 0, 1), ("placed", 4, 0, 1, 1, 0, 6)}
+    assert [x for x in packing.sweep(runs[2:4], 10, opens=False)] == [("piece", 5, 0, 2, 0, 0, 0), ("piece", 4, 0, 1, 0, 0, 0)]
 
 
 def test_pieces_rebuild_documents(spark, docs):
@@ -233,6 +242,19 @@ def test_conversations_round_trip():
         assert [chat_format.unescape(output[a:b]) for a, b in found] == [t for _, t in turns]
 
 
+def test_rendering_grows_with_the_turns():
+    import time
+
+    def took(n):
+        turns = [(("user", "assistant")[k % 2], f"{k} <turn " + "word " * 40) for k in range(n)]
+        began = time.perf_counter()
+        output, found, rewrote = chat_format.spans(turns)
+        assert len(found) == n and not rewrote and chat_format.read_back(output) == turns
+        return time.perf_counter() - began
+
+    assert took(2000) < 4
+
+
 def test_rewriting_templates_are_found_out():
     def trimmed(turns):
         return "".join(f"[{t.strip() if k < len(turns) - 1 else t}]" for k, (_, t) in enumerate(turns))
@@ -318,6 +340,24 @@ def test_binary_layers():
         assert all(2 <= s < e <= 2 + len(x) for s, _, e in every)
 
 
+def test_prefixed_and_wrapped_base64():
+    import base64
+    import gzip
+    import textwrap
+    from urllib.parse import quote
+
+    inner = b"my password = hunter22x! " + " ".join(str(i * i) for i in range(60)).encode()
+    plain, zipped = base64.b64encode(inner).decode(), base64.b64encode(gzip.compress(inner)).decode()
+    made = [f"path/{plain}", f"a/bc/{zipped}", f"x{plain}", f"k-{plain}"]
+    for wide in (64, 76):
+        made += ["\n".join(textwrap.wrap(plain, wide)), "\r\n".join(textwrap.wrap(zipped, wide)), "\n    ".join(textwrap.wrap(plain, wide)), "\\n".join(textwrap.wrap(plain, wide)), quote("\r\n".join(textwrap.wrap(plain, wide)))]
+    made += ["token%3D%FFabc&secret%3Aabcdef9", f"data:;base64,{quote(zipped, safe='')}", quote(gzip.compress(inner), safe=""), base64.b64encode(b"\x00\x07 secret=abcdef99 \x1b").decode(), base64.b64encode(gzip.compress(b"x") + gzip.compress(inner)).decode()]
+    for x in made:
+        text = f"é before\n{x}\nafter"
+        base, every = secret_scan.secrets(text)
+        assert not base and any(9 <= s < e <= 9 + len(x) and k == 0 for s, k, e in every), x
+
+
 def test_long_layers_are_whole_or_marked(spark):
     import base64
     import gzip
@@ -375,6 +415,11 @@ def test_targets_and_nesting(spark):
         assert o.source_size == size[s] and o.target == pytest.approx(want[s]) and o.taken <= 3 * o["size"]
         taken[s] += o.taken
     assert all(abs(taken[s] - want[s]) <= 40 for s in names)
+    for same in ("null", "7"):  # ids that are all the same; then rows that are
+        tied = mixing.mix(df.selectExpr(f"cast({same} AS long) AS doc_id", "text", "source")).groupBy("source").agg({"taken": "sum"}).collect()
+        assert all(abs(x[1] - want[x.source]) <= 40 for x in tied)
+    equal = mixing.mix(df.selectExpr("1 AS doc_id", "'a b c' AS text", "source")).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(x["sum(taken)"] - x["max(target)"]) <= 40 for x in equal)
     few = mixing.mix(df, most=1.0).collect()
     assert {(o.doc_id, o.taken) for o in mixing.mix(df.repartition(7)).collect()} == {(o.doc_id, o.taken) for o in out}
     assert all(o.taken <= o["size"] for o in few)
