@@ -19,11 +19,20 @@ def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=[f"__{c}" for c in features], outputCol="features").transform(plain).drop(*[f"__{c}" for c in features])
 
 
+#: Rows that one task learns from; a round is several jobs, which cost more than such rows do.
+ROWS_A_TASK = 50_000
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as their number asks for."""
+    return rows.repartition(max(1, math.ceil(rows.count() / ROWS_A_TASK)))
+
+
 def train_pruner(pairs: DataFrame, features: list[str], seed: int = 7, rounds: int = 200) -> GBTClassificationModel:
     """Trees of depth 6 (about 64 leaves) on context features and the label y."""
     shared_dir(pairs.sparkSession)  # long fits cut their lineage there
     gbt = GBTClassifier(labelCol="y", maxDepth=6, maxIter=rounds, stepSize=0.1, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="0.9", seed=seed)
-    return gbt.fit(_vectors(pairs, features).select("features", F.col("y").cast("double").alias("y")))
+    return gbt.fit(_dealt(_vectors(pairs, features).select("features", F.col("y").cast("double").alias("y"))))
 
 
 def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
@@ -56,13 +65,15 @@ def train_matcher(pairs: DataFrame, features: list[str], tune: str = "is_tune",
     the first trees of a longer fit are those of a shorter one."""
     shared_dir(pairs.sparkSession)  # long fits cut their lineage there
     rows = _vectors(pairs, features).select("features", F.col("y").cast("double").alias("y"), F.col(tune))
-    learn, held = rows.where(~F.col(tune)), rows.where(tune)
+    learn, held = _dealt(rows.where(~F.col(tune))).drop(tune).cache(), _dealt(rows.where(tune)).cache()
     gbt = GBTClassifier(labelCol="y", maxDepth=7, stepSize=0.05, minInstancesPerNode=10, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
     n = min(rounds, 3 * patience)
     while True:
         model = gbt.copy({gbt.maxIter: n}).fit(learn)
         best, stopped = best_round(model.evaluateEachIteration(held), patience)
         if stopped or n == rounds:
+            learn.unpersist()
+            held.unpersist()
             return first_trees(model, best)
         n = min(rounds, 2 * n)
 
