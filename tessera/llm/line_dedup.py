@@ -6,148 +6,207 @@ by its first line; all others of the class go. Classes of at least four words (s
 only equal sets) are joined:
 
 - order: words from rare to frequent, by counts over all words of all lines. Counts are kept for
-  2**20 hash buckets of words, a size that does not grow; words of equal count go by their bytes.
-- prefix: two sets this similar share at least three of the first n - ceil(0.8 n) + 3 words of both.
-- position and length: a shared word only counts if the words from it on, and two before, can suffice.
-- verify: the similarity of the pairs that are left is computed from their words.
+  2**20 hash buckets of words, a size that does not grow. A word is a number: six bits of rarity, then
+  57 bits of its hash. Equal sets are equal in 128 bits hashed from the whole sorted set.
+- prefix: two sets this similar share one of the first n - ceil(0.8 n) + 1 words of both. From 96 words
+  on, prefixes are longer by n / 32 words, and as many more must be shared.
+- position and length: the words from a shared one on must suffice in both sets, which also bounds
+  how far sizes differ.
+- bits: each word flips one of 64 bits of its set. Sets that match differ in few words, so in few bits.
+- verify: the similarity of the pairs that are left is computed from the words of their lines.
 
 Whether a line goes depends on whether any earlier one matches, so many alike are not paired up: a
-first round compares each class only with the earliest of each size under each of its words, and
-what it removes takes no part, as the later line, in the second round over all that are left.
+first round compares classes only with the earliest under each of their frequent words, and what it
+removes takes no part, as the later line, in the second round over all.
 """
 
 from __future__ import annotations
 
-import math
+import functools
+import operator
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import discard, table, text_of, written
 
 SIMILARITY_PERCENT, BUCKETS, GROUP = 80, 1 << 20, 1 << 10
-#: Words that prefixes must share. Sets that match share at least four.
-SHARED = 3
-LOWEST, LINES = -(1 << 63), 1 << 31
-#: The sign of words seen 1,024 times: those from it on are joined band by band.
-OFTEN = chr(33 + 21)
+#: Bits of a word's hash that its number keeps below the rarity; counts are told apart in half powers of two.
+HASH_BITS, LEVELS = 57, 64
+#: The rarity of words seen 512 times: the first round looks at those from it on.
+OFTEN = 19
+#: A byte for each rarity, whose CRC-32 begins with its six bits: the cheapest function from a byte to a number.
+SIGNS = [next(c for c in range(256) if zlib.crc32(bytes([c])) >> 26 == level) for level in range(LEVELS)]
+#: Sets of so many words have prefixes longer by one for each so many words.
+LONG, LONGER = 96, 32
+FAST_MAP = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 
 
 def plain(docs: DataFrame, text: str, *more: Column) -> DataFrame:
     """body, the text in lower case with spaces for the other white space within lines, and more columns."""
     low = docs.select(F.lower(text_of(text)).alias("body"), *more)
-    other = F.contains("body", F.lit("\t")) | F.contains("body", F.lit("\r")) | F.contains("body", F.lit("\x0b")) | F.contains("body", F.lit("\x0c"))
+    other = functools.reduce(operator.or_, (F.contains("body", F.lit(c)) for c in "\t\r\x0b\x0c"))
     return low.withColumn("body", F.when(other, F.translate("body", "\t\x0b\x0c\r", "    ")).otherwise(F.col("body")))
 
 
-def words_of(line: Column) -> Column:
-    """The words of a plain line."""
-    return F.array_remove(F.split(line, " "), "")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """id, line, body of every line with a word. docs: id, body."""
+    return docs.select("id", F.posexplode(F.split("body", "\n")).alias("line", "body")).where("trim(body) <> ''")
 
 
-def bucket(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def hashes(line: Column) -> Column:
+    """The different words of a plain line, each as its hash."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """A byte for each bucket that sorts as its count does, in half powers of two from 2 on. A million bytes come to the driver, never more."""
-    words = plain(docs, text).select(F.explode(F.split(F.replace("body", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    counted = words.groupBy(bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.lit(93), F.floor(2 * F.log2("n")) + 1).cast("int")
-    entry = F.concat(F.lpad(F.hex(F.col("b") % GROUP), 3, "0"), F.chr(level + 33))
-    packed = counted.groupBy(F.floor(F.col("b") / GROUP).cast("int").alias("g")).agg(F.array_join(F.collect_list(entry), "").alias("all")).collect()
-    signs = bytearray(b"!" * BUCKETS)
+def bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def by_bucket(entries: DataFrame, default: int) -> Column:
+    """A literal of BUCKETS bytes from entries (b, sign; one for each b), default elsewhere. Some megabytes come to the driver, never more."""
+    entry = F.lpad(F.hex(F.col("b") % GROUP * 256 + F.col("sign")), 5, "0")
+    packed = entries.groupBy(F.floor(F.col("b") / GROUP).cast("int").alias("g")).agg(F.array_join(F.collect_list(entry), "").alias("all")).collect()
+    signs = bytearray(bytes([default]) * BUCKETS)
     for r in packed:
-        for i in range(0, len(r["all"]), 4):
-            signs[r.g * GROUP + int(r["all"][i : i + 3], 16)] = ord(r["all"][i + 3])
+        for i in range(0, len(r["all"]), 5):
+            signs[r.g * GROUP + int(r["all"][i : i + 3], 16)] = int(r["all"][i + 3 : i + 5], 16)
     return F.lit(bytes(signs))
 
 
-def position() -> Column:
-    """doc_id and line as one number: minima of numbers are kept in a hash table, those of structs would be sorted."""
-    return (F.col("id").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(10,0)") + F.col("line")).cast("decimal(38,0)")
+def sign_at(signs: Column, hashed: Column) -> Column:
+    """A number that tells the sign of a hash's bucket. Places of a literal count from 1, and 0 is read as 1."""
+    return F.crc32(F.substring(signs, bucket(hashed), F.lit(1)))
+
+
+def rarity(docs: DataFrame) -> Column:
+    """The sign of the rarity of each bucket of words. docs: body."""
+    place = F.greatest(bucket(F.xxhash64("w")), F.lit(1)) - 1
+    words = docs.select(F.explode(F.split(F.replace("body", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counted = words.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.least(F.lit(LEVELS - 1), F.floor(2 * F.log2("n")) + 1).cast("int")
+    conf = docs.sparkSession.conf
+    before = conf.get(FAST_MAP)
+    conf.set(FAST_MAP, str(BUCKETS.bit_length() - 1))  # room for all buckets in the faster of a task's two tables
+    try:
+        return by_bucket(counted.select("b", F.get(F.array(*map(F.lit, SIGNS)), level).alias("sign")), SIGNS[0])
+    finally:
+        conf.set(FAST_MAP, before)
 
 
-def from_position() -> list[Column]:
-    scale = F.lit(LINES).cast("decimal(10,0)")
-    line = F.pmod("pos", scale)
-    return [((F.col("pos") - line) / scale).cast("long").alias("id"), line.cast("int").alias("line")]
+def extra(n: Column) -> Column:
+    """Words that sets of n words must share in their prefixes besides one."""
+    return F.when(n >= LONG, F.floor(n / LONGER).cast("int")).otherwise(0)
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """id, line (of the first line, which name the class), words (from rare to frequent, each after its sign, joined), n."""
-    signs = rarity(docs, text)
-    lines = plain(docs, text, F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)).alias("id")).select("id", F.posexplode(F.split("body", "\n")).alias("line", "body")).where("trim(body) <> ''")
-    signed = F.sort_array(F.transform(F.array_distinct(words_of(F.col("body"))), lambda w: F.concat(F.substring(signs, bucket(w) + 1, F.lit(1)).cast("string"), w)))
-    firsts = lines.select(F.array_join(signed, " ").alias("words"), position().alias("pos")).groupBy("words").agg(F.min("pos").alias("pos"))
-    size = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1
-    return written(firsts.select(*from_position(), "words", size.alias("n")), "line-classes")
+def classes(docs: DataFrame) -> DataFrame:
+    """id, line (of the first line, which name the class), n, bits, prefix (of the sorted words). docs: id, body."""
+    signs = rarity(docs)
 
+    def number(h: Column) -> Column:
+        return F.shiftleft(sign_at(signs, h), HASH_BITS - 26).bitwiseXOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-def prefixes(found: DataFrame) -> DataFrame:
-    """id, line, n, at (place from 0), word (hash), often of the prefix of every class of at least four words. Words seen once match nothing."""
-    prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY_PERCENT) / 100 - 1e-9) + SHARED).cast("int")
-    index = found.where("n >= 4").select("id", "line", "n", F.posexplode(F.split(F.call_function("substring_index", F.col("words"), F.lit(" "), prefix), " ")).alias("at", "w"))
-    return index.where(F.substring("w", 1, 1) != F.lit(chr(34))).select("id", "line", "n", "at", F.xxhash64("w").alias("word"), (F.substring("w", 1, 1) >= OFTEN).alias("often"))
+    words = lines_of(docs).select("id", "line", F.sort_array(F.transform(hashes(F.col("body")), number)).alias("words"))
+    bits = F.aggregate("words", F.lit(0).cast("long"), lambda held, w: held.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    n = F.size("words")
+    prefix = n - F.ceil(n * F.lit(SIMILARITY_PERCENT) / 100 - 1e-9).cast("int") + 1 + extra(n)
+    first = F.struct("id", "line", n.alias("n"), bits.alias("bits"), F.slice("words", F.lit(1), prefix).alias("prefix"))
+    signed = words.select(F.xxhash64("words").alias("d"), F.xxhash64(F.lit(1), "words").alias("e"), first.alias("first"))
+    return written(signed.groupBy("d", "e").agg(F.min("first").alias("first")).select("first.*"), "line-classes", "snappy")
 
 
-def needed(n: Column, m: Column) -> Column:
-    """Words that sets of n and m words must share."""
-    return F.ceil((n + m) * F.lit(SIMILARITY_PERCENT) / F.lit(100 + SIMILARITY_PERCENT) - 1e-9)
+def prefixes(found: DataFrame, *more: str) -> DataFrame:
+    """id, line, n, bits, word, room (words from it on) of the prefix of every class of at least four words. Words seen once match nothing."""
+    index = found.where("n >= 4").select("id", "line", "n", "bits", *more, F.posexplode("prefix").alias("at", "word"))
+    return index.where(F.col("word") >= F.lit(2 << HASH_BITS)).withColumn("room", F.col("n") - F.col("at")).drop("at")
 
 
-def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """a_id, a_line, b_id, b_line: different classes, a of earlier before b of later, that pass the filters. Complete if earlier holds whole prefixes."""
-    # Frequent words are joined band by band: sizes of sets that match are at most one band of factor 1.25 apart.
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / SIMILARITY_PERCENT))
-    none = F.lit(-1).cast("long")
-    b = later.withColumn("band", F.explode(F.when(F.col("often"), F.array(band - 1, band, band + 1)).otherwise(F.array(none)))).alias("b")
-    a = earlier.withColumn("band", F.when(F.col("often"), band).otherwise(none)).alias("a")
-    an, bn = F.col("a.n"), F.col("b.n")
+def differ() -> Column:
+    """Bits in which classes a and b differ."""
+    return F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
+
+
+def alike() -> Column:
+    """Whether a is an earlier class than b and passes the filter on bits."""
     before = (F.col("a.id") < F.col("b.id")) | ((F.col("a.id") == F.col("b.id")) & (F.col("a.line") < F.col("b.line")))
-    alike = F.greatest(an, bn) * SIMILARITY_PERCENT <= F.least(an, bn) * 100
-    # The shared word, all after it, and those shared before it: of the first shared words each passes.
-    room = F.least(an - F.col("a.at"), bn - F.col("b.at")) + SHARED - 1 >= needed(an, bn)
-    joined = b.join(a, (F.col("a.word") == F.col("b.word")) & (F.col("a.band") == F.col("b.band")) & before & alike & room)
-    shared = joined.groupBy(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("id", "line")]).agg(F.count(F.lit(1)).alias("shared"))
-    return shared.where(F.col("shared") >= SHARED).drop("shared")
+    return (differ() * (100 + SIMILARITY_PERCENT) <= (F.col("a.n") + F.col("b.n")) * (100 - SIMILARITY_PERCENT)) & before
 
 
-def matched(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """id, line: each b that is similar enough to an a."""
-    pairs = written(pairs, "line-pairs")
+def confirmed(found: DataFrame, words: DataFrame) -> DataFrame:
+    """id, line: each b of pairs found that is similar enough to its a, by their words."""
     for x in "ab":
-        pairs = pairs.join(found.select(F.col("id").alias(f"{x}_id"), F.col("line").alias(f"{x}_line"), F.split("words", " ").alias(x)), [f"{x}_id", f"{x}_line"])
+        found = found.join(words.select(F.col("id").alias(f"{x}_id"), F.col("line").alias(f"{x}_line"), F.col("words").alias(x)), [f"{x}_id", f"{x}_line"])
     common = F.size(F.array_intersect("a", "b"))
-    alike = common * 100 >= (F.size("a") + F.size("b") - common) * SIMILARITY_PERCENT
-    return written(pairs.where(alike).select(F.col("b_id").alias("id"), F.col("b_line").alias("line")).distinct(), "line-matches")
+    similar = common * 100 >= (F.size("a") + F.size("b") - common) * SIMILARITY_PERCENT
+    return written(found.where(similar).select(F.col("b_id").alias("id"), F.col("b_line").alias("line")).distinct(), "line-matches")
 
 
-def removed_classes(found: DataFrame) -> DataFrame:
-    """id, line: classes whose first line matches an earlier line."""
-    index = written(prefixes(found), "line-prefixes")
-    # Of an earliest class's prefix only some words are here, so this round may miss pairs; the second does not.
-    least = index.withColumn("pos", position()).groupBy("word", "n", "often").agg(F.min("pos").alias("pos"), F.min_by("at", "pos").alias("at"))
-    earliest = least.select(*from_position(), "at", "word", "n", "often")
-    gone = matched(candidates(index, earliest), found)
-    rest = index.join(gone, ["id", "line"], "left_anti")
-    return gone.unionByName(matched(candidates(rest, index), found))
+def matched(joined: DataFrame, least: Column, rows: DataFrame, every: bool = True) -> DataFrame:
+    """id, line: each b that is similar enough to an a of those it is joined with in `least` rows or more. rows: id, text.
+
+    First each b is compared with the a nearest to it in bits, then (if every a counts) those left with all others.
+    """
+    keys = {f"{x}_{c}": F.col(f"{x}.{c}") for x in "ab" for c in ("id", "line")}
+    found = written(joined.groupBy(*[v.alias(k) for k, v in keys.items()]).agg(F.min(differ()).alias("apart"), F.count(F.lit(1)).alias("shared"), F.min(least).alias("least")).where("shared >= least").drop("shared", "least"), "line-pairs")
+    nearest = found.groupBy("b_id", "b_line").agg(*[F.min_by(c, "apart").alias(c) for c in ("a_id", "a_line")])
+    asked = found if every else written(nearest, "line-nearest")
+    named = [asked.select(F.col(f"{x}_id").alias("id"), F.col(f"{x}_line").alias("line")) for x in "ab"]
+    wanted = named[0].unionByName(named[1]).groupBy("id").agg(F.collect_set("line").alias("wanted"))
+    some = plain(rows.hint("merge").join(wanted, "id"), "text", F.col("id"), F.col("wanted"))
+    numbered_lines = F.transform(F.split("body", "\n"), lambda body, line: F.struct(line.alias("line"), body.alias("body")))
+    asked_for = some.select("id", F.inline(F.filter(numbered_lines, lambda x: F.array_contains("wanted", x["line"]))))
+    words = written(asked_for.select("id", "line", hashes(F.col("body")).alias("words")), "line-words")
+    first = confirmed(nearest if every else asked, words)
+    if not every:
+        return first
+    rest = found.join(first.select(F.col("id").alias("b_id"), F.col("line").alias("b_line")), ["b_id", "b_line"], "left_anti")
+    second = confirmed(rest, words)
+    for t in (found, words):
+        discard(t)
+    return first.unionByName(second)
+
+
+def removed_classes(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, line: classes whose first line matches an earlier line. rows: id, text."""
+    often = F.lit(OFTEN << HASH_BITS)
+    frequent = prefixes(found).where(F.col("word") >= often)
+    earliest = frequent.groupBy("word").agg(F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in ("line", "n", "bits")])
+    gone = matched(frequent.alias("b").join(earliest.alias("a"), (F.col("a.word") == F.col("b.word")) & alike()), F.lit(1), rows, every=False)
+    # Both sides are one table, so that they share a shuffle: the room of what is gone, negative, suffices in no b.
+    flagged = found.join(gone.withColumn("gone", F.lit(True)), ["id", "line"], "left")
+    index = prefixes(flagged, "gone").withColumn("room", F.when(F.col("gone"), -F.col("room")).otherwise(F.col("room"))).drop("gone")
+    more = F.least(extra(F.col("a.n")), extra(F.col("b.n")))
+    # Of the words that must be shared, the last has all the others before it.
+    suffices = (F.least(F.abs("a.room"), F.col("b.room")) + more) * (100 + SIMILARITY_PERCENT) >= (F.col("a.n") + F.col("b.n")) * SIMILARITY_PERCENT
+    both = index.alias("a").join(index.alias("b"), (F.col("a.word") == F.col("b.word")) & alike() & suffices)
+    return gone.unionByName(matched(both, more + 1, rows))
+
+
+def numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, text, id: a whole number for each row, in the order of doc_id (null first), then of text. Whole and different doc_ids are taken as they are."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    kind = rows.schema["doc_id"].dataType.typeName()
+    if kind in ("byte", "short", "integer", "long") and rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        return rows.withColumn("id", F.col("doc_id").cast("long"))
+    return written(rows.orderBy(F.col("doc_id").asc_nulls_first(), "text").withColumn("id", F.monotonically_increasing_id()), "line-rows")
 
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of the lines that go, in order) of every row of docs.
 
-    Lines without a word stay. A null text has one line, without a word. Rows that repeat a doc_id
-    are in the same place in the order, so none of them is later than another; a null doc_id is
-    before all others. An empty table gives an empty result; other columns are not read.
+    Lines without a word stay. A null text has one line, without a word. A null doc_id is before all
+    others, which may be numbers or strings; of rows that repeat a doc_id, the lesser text is earlier,
+    and of equal rows any. An empty table gives an empty result; other columns are not read.
     """
-    found = classes(docs, text, doc_id)
-    stay = found.select("id", "line").join(removed_classes(found), ["id", "line"], "left_anti")
+    rows = numbered(docs, text, doc_id)
+    body = plain(rows, "text", F.col("id"))
+    found = classes(body)
+    stay = found.select("id", "line").join(removed_classes(found, rows.select("id", "text")), ["id", "line"], "left_anti")
     per = stay.groupBy("id").agg(F.collect_list("line").alias("stay"))
-    body = plain(docs, text, F.col(f"`{doc_id}`").cast("long").alias("doc_id")).select("doc_id", F.split("body", "\n").alias("lines"))
-    worded = F.filter(F.transform("lines", lambda b, i: F.when(F.trim(b) != "", i)), lambda i: i.isNotNull())
-    rows = body.select("doc_id", F.size("lines").cast("long").alias("n_lines"), worded.alias("worded"))
-    out = rows.join(per, F.coalesce("doc_id", F.lit(LOWEST)) == F.col("id"), "left")
+    lines = rows.select("id", "doc_id", F.split(text_of("text"), "\n").alias("lines"))
+    worded = F.filter(F.transform("lines", lambda b, i: F.when((F.ascii(F.trim(b)) > 32) | (F.btrim(b, F.lit(" \t\r\x0b\x0c")) != ""), i)), lambda i: i.isNotNull())
+    out = lines.select("id", "doc_id", F.size("lines").cast("long").alias("n_lines"), worded.alias("worded")).join(per, "id", "left")
     removed = F.array_sort(F.array_except("worded", F.coalesce("stay", F.array().cast("array<int>"))))
     return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
