@@ -12,7 +12,7 @@ from ..functions.scripts import fit_dictionary, load_dictionary, save_dictionary
 from ..functions.textnorm import normalize_records
 from ..operators import blocking, context, decide, features, metrics, models, quality, retrieve, sampling
 from ..sources import stages, tsv
-from ..sources.scratch import intermediates, read_text, saved, write_text
+from ..sources.scratch import intermediates, new_path, read_text, saved, write_text
 
 
 @dataclass(frozen=True)
@@ -108,6 +108,13 @@ def _train(raw: DataFrame, truth: DataFrame, folder: str, settings: Settings) ->
     return report
 
 
+def trained_matches(raw: DataFrame, truth: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """s1, t: the whole linkage, trained on raw and truth and applied to raw, with its models in the shared folder."""
+    folder = new_path(raw.sparkSession, "model")
+    train(raw, truth, folder, settings)
+    return tsv.explode_truth(predict(raw, folder, settings)[1])
+
+
 def predict(raw: DataFrame, folder: str, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidate lists, match lists, rule violations) with the models in folder. Assignment is over all targets."""
     spark = raw.sparkSession

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scripts, similarity
 from ..functions import textnorm as tn
-from ..operators import blocking, context, decide, features, metrics, models, quality, retrieve, sampling, vectors
+from ..operators import alternatives, blocking, components, context, decide, features, metrics, models, quality, retrieve, sampling, vectors
 from ..sources import fixtures, tsv
 from ..sources.scratch import saved
 from . import duck, linkage
@@ -446,14 +446,132 @@ def report_by_group(spark, d):
     return metrics.report_by_group(decide.predict_pairs(p, THRESHOLD), truth, norm(spark, d).where("src = 1")).select("country", "n", *r("f", "single_share", "single_f"))
 
 
+# Other ways to find, narrow, join up and calibrate pairs
+
+PLACE = ["country", "block"]
+
+
+def _grams():
+    return vectors.trigrams(F.col("name_nospace"))
+
+
+def _name_words():
+    return F.filter(F.split("name_core", " "), lambda w: w != "")
+
+
+DOC_WORDS = "list_distinct(list_filter(string_split(name_core, ' '), lambda t: t <> ''))"
+NAMED = f"""{duck.BLOCKS}, named AS (SELECT entity_id, country, block, name_core FROM s1 WHERE block <> '' UNION ALL SELECT entity_id, country, block, name_core FROM targets WHERE block <> '')"""
+
+
+@query(f"""WITH {duck.WEIGHTS}, len AS (SELECT country, block, entity_id, sum(tf) AS len FROM name_w_tf GROUP BY ALL), mean AS (SELECT country, block, avg(len) AS mean FROM len GROUP BY ALL),
+  idf AS (SELECT x.country, x.block, f, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM name_w_df x JOIN name_w_n y USING (country, block) WHERE df >= 2 AND df <= greatest(floor(0.01 * n), 50)),
+  docs25 AS (SELECT country, block, f, entity_id AS t, idf * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS w FROM name_w_tf JOIN len USING (country, block, entity_id) JOIN mean USING (country, block) JOIN idf USING (country, block, f) WHERE entity_id NOT LIKE 'S1-%'),
+  scores25 AS (SELECT q.entity_id AS s1, t, sum(w) AS bm25 FROM name_w_tf q JOIN docs25 USING (country, block, f) WHERE q.entity_id LIKE 'S1-%' GROUP BY ALL)
+  SELECT s1, t, r::INT AS r, round(bm25, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY round(bm25, 6) DESC, t) - 1 AS r FROM scores25 WHERE bm25 > 0) WHERE r < 3""")
+def bm25_topk(spark, d):
+    scores = saved(alternatives.bm25_scores(corpus(spark, d), _grams(), PLACE), "bm25")
+    return retrieve.top_k(scores, "bm25", "s1", 3, "r", 0.0).join(scores, ["s1", "t"]).select("s1", "t", F.col("r").cast("int").alias("r"), *r("bm25"))
+
+
+RAREST = f"""{duck.WEIGHTS}, rare AS (SELECT country, block, entity_id, f, df, row_number() OVER (PARTITION BY country, block, entity_id ORDER BY df, f) AS r
+  FROM name_w_tf JOIN name_w_df USING (country, block, f) JOIN name_w_n USING (country, block) WHERE df >= 2 AND df <= greatest(floor(0.01 * n), 50))"""
+
+
+@query(f"WITH {RAREST} SELECT entity_id, f, df FROM rare WHERE r <= 4")
+def rarest_features(spark, d):
+    return alternatives.rarest_features(corpus(spark, d), _grams(), PLACE).select("entity_id", "f", "df")
+
+
+@query(f"""WITH {RAREST}, cut AS (SELECT w.* FROM name_w w JOIN rare USING (country, block, entity_id, f) WHERE r <= 8), {duck.scores('lows', 'cut', 'country, block', 'lowest')},
+  best AS (SELECT s1, t FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY round(lowest, 6) DESC, t) AS r FROM lows WHERE lowest > {retrieve.MIN_SCORE}) WHERE r <= 3), {duck.scores('whole', 'name_w', 'country, block', 'name_cos')}
+  SELECT s1, t, round(lowest, 4) AS lowest, round(name_cos, 4) AS name_cos FROM best JOIN lows USING (s1, t) JOIN whole USING (s1, t)""")
+def truncated_retrieval(spark, d):
+    rows = saved(corpus(spark, d), "corpus")
+    weights = saved(vectors.tfidf(rows, _grams(), PLACE), "weights")
+    few = saved(alternatives.truncated(weights, alternatives.rarest_features(rows, _grams(), PLACE, 8), PLACE), "few")
+    lower = saved(retrieve.pair_scores(few, PLACE, "lowest"), "lower")
+    best = retrieve.top_k(lower, "lowest", "s1", 3, "r").join(lower, ["s1", "t"]).drop("r")
+    # Only the pairs found are scored in full.
+    a, b = (best.select("s1", "t", F.col(x).alias("entity_id")).join(weights, "entity_id").select("s1", "t", "f", F.col("w").alias(x + "_w")) for x in ("s1", "t"))
+    full = a.join(b, ["s1", "t", "f"]).groupBy("s1", "t").agg(F.sum(F.col("s1_w") * F.col("t_w")).alias("name_cos"))
+    return best.join(full, ["s1", "t"]).select("s1", "t", *r("lowest", "name_cos"))
+
+
+@query(f"WITH {duck.RETRIEVED} SELECT s1, t FROM retrieved WHERE {' OR '.join(f'({c}_fwd >= 0 AND {c}_rev >= 0)' for c in retrieve.CHANNELS)}")
+def mutual_topk(spark, d):
+    return alternatives.mutual(retrieve.retrieve(*sides(spark, d), saved), list(retrieve.CHANNELS)).select("s1", "t")
+
+
+@query(f"""WITH {NAMED.replace('name_core FROM', 'name_core, name_nospace FROM')}, o AS (SELECT entity_id, lag(entity_id, 1) OVER w AS a, lag(entity_id, 2) OVER w AS b, lag(entity_id, 3) OVER w AS c FROM named WINDOW w AS (PARTITION BY country, block ORDER BY name_nospace, entity_id)),
+  n AS (SELECT entity_id, unnest([a, b, c]) AS other FROM o)
+  SELECT DISTINCT least(entity_id, other) AS s1, greatest(entity_id, other) AS t FROM n WHERE other IS NOT NULL AND least(entity_id, other) LIKE 'S1-%' AND greatest(entity_id, other) NOT LIKE 'S1-%'""")
+def sorted_neighbourhood(spark, d):
+    return alternatives.sorted_neighbourhood(corpus(spark, d), F.col("name_nospace"), PLACE)
+
+
+@query(f"""WITH {NAMED}, toks AS (SELECT country, block, entity_id, unnest({DOC_WORDS}) AS token FROM named),
+  sizes AS (SELECT country, block, token, count(*) AS size FROM toks GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY country, block, entity_id ORDER BY size, token) AS r, count(*) OVER (PARTITION BY country, block, entity_id) AS n FROM toks JOIN sizes USING (country, block, token))
+  SELECT entity_id, token FROM ranked WHERE r <= ceil(n * 0.8::DOUBLE - 1e-9)""")
+def token_blocks(spark, d):
+    return alternatives.token_blocks(corpus(spark, d), _name_words(), PLACE).select("entity_id", "token")
+
+
+@query(f"""WITH {NAMED}, sets AS (SELECT entity_id, country, block, {DOC_WORDS} AS words FROM named)
+  SELECT a.entity_id AS s1, b.entity_id AS t, round(len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))), 4) AS jaccard FROM sets a JOIN sets b USING (country, block)
+  WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%' AND len(a.words) > 0 AND len(b.words) > 0 AND 2 * len(list_intersect(a.words, b.words)) >= len(list_distinct(list_concat(a.words, b.words)))""")
+def prefix_join(spark, d):
+    return alternatives.prefix_join(saved(corpus(spark, d), "corpus"), _name_words(), PLACE).select("s1", "t", *r("jaccard"))
+
+
+@query(f"WITH {duck.NORM} SELECT entity_id, regexp_replace(name_core, '[aeiou]', '', 'g') AS skeleton FROM records")
+def skeleton_keys(spark, d):
+    return norm(spark, d).select("entity_id", alternatives.skeleton(F.col("name_core")).alias("skeleton"))
+
+
+@query(f"""WITH {duck.CONTEXT}, x AS (SELECT s1, t, ret_score, cast(substr(t, 2, 1) AS int) AS src FROM pairs)
+  SELECT s1, t, src, count(*) OVER (PARTITION BY s1, src) AS src_n_cands, row_number() OVER (PARTITION BY s1, src ORDER BY round(ret_score, 6) DESC, t) - 1 AS src_rank, round(max(ret_score) OVER (PARTITION BY s1, src) - ret_score, 4) AS src_gap FROM x""")
+def source_features(spark, d):
+    return alternatives.source_features(linkage.candidates(*sides(spark, d))).select("s1", "t", "src", "src_n_cands", "src_rank", *r("src_gap"))
+
+
+@query(f"""WITH {duck.SCORED}, x AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, t) AS a, row_number() OVER (PARTITION BY t ORDER BY p DESC, s1) AS b FROM p) SELECT s1, t, round(p, 4) AS p FROM x WHERE a = 1 AND b = 1""")
+def mutual_best(spark, d):
+    return alternatives.mutual_best(scored(spark, d)[0]).select("s1", "t", *r("p"))
+
+
+@query(f"""WITH RECURSIVE {duck.SCORED}, e AS MATERIALIZED (SELECT s1 AS u, t AS v FROM p WHERE p >= {THRESHOLD} UNION SELECT t, s1 FROM p WHERE p >= {THRESHOLD}),
+  reach AS (SELECT u AS node, u AS root FROM e UNION SELECT e.v, reach.root FROM reach JOIN e ON e.u = reach.node) SELECT node, min(root) AS root FROM reach GROUP BY node""")
+def entity_clusters(spark, d):
+    pairs = scored(spark, d)[0].where(F.col("p") >= THRESHOLD)
+    return components.components(pairs.select(F.col("s1").alias("u"), F.col("t").alias("v")))
+
+
+@query()
+def isotonic_calibration(spark, d):
+    p, truth, _ = scored(spark, d)
+    pairs = saved(linkage.labelled(p, truth).join(norm(spark, d).where("src = 1").selectExpr("entity_id AS s1", "country"), "s1"), "labelled")
+    return alternatives.calibrated(pairs, "country").select("s1", "t", "country", "y", *r("p", "calibrated"))
+
+
+@query(SQL["tune_threshold"].replace("SELECT threshold, round(avg(", "SELECT round(max(f) / 1.25::DOUBLE, 4) AS threshold FROM (SELECT threshold, avg(").replace(", 4) AS f FROM f GROUP BY threshold", " AS f FROM f GROUP BY threshold)"))
+def closed_form_threshold(spark, d):
+    best = decide.tune_threshold(*scored(spark, d)).agg(F.max("f").alias("f"))
+    return best.select(alternatives.closed_form_threshold(F.col("f")).alias("threshold")).select(*r("threshold"))
+
+
 # Learned
 
 
+#: The queries' rounds; linkage.Settings has the full ones, which take minutes on any table.
+FEWER = linkage.Settings(pruner_rounds=40, matcher_rounds=60, patience=20)
+
+
 @query()
 def trained_pruner(spark, d):
     s1, targets = sides(spark, d)
     pairs = saved(linkage.labelled(linkage.candidates(s1, targets), fixtures.truth(raw(spark, d))), "labelled")
-    return models.score(pairs, models.train_pruner(pairs, features.CONTEXT), features.CONTEXT, "p_prune").select("s1", "t", "y", *r("p_prune"))
+    return models.score(pairs, models.train_pruner(pairs, features.CONTEXT, rounds=FEWER.pruner_rounds), features.CONTEXT, "p_prune").select("s1", "t", "y", *r("p_prune"))
 
 
 @query()
@@ -462,7 +580,13 @@ def trained_matcher(spark, d):
     pairs = linkage.labelled(linkage.candidates(s1, targets), fixtures.truth(raw(spark, d)))
     full = saved(features.featurize(pairs, s1, targets).withColumn("is_tune", sampling.id_bucket(F.col("s1"), 5) == 4), "featured")
     names = [*features.CONTEXT, *features.PAIR]
-    return models.score(full, models.train_matcher(full, names), names, "p").select("s1", "t", "y", *r("p"))
+    return models.score(full, models.train_matcher(full, names, rounds=FEWER.matcher_rounds, patience=FEWER.patience), names, "p").select("s1", "t", "y", *r("p"))
+
+
+@query()
+def trained_linkage(spark, d):
+    rows = stored(spark, d)
+    return linkage.trained_matches(rows.drop("k"), fixtures.truth(rows), FEWER)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -59,6 +59,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a saved table that nothing reads any more."""
+    spark = df.sparkSession
+    base = shared_dir(spark).rpartition(":")[2]
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if base in folder:
+            delete(spark, folder)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file in any file system that Spark writes, in place of one there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -37,6 +37,25 @@ def test_lists_round_trip(spark, tmp_path):
     assert {tuple(r) for r in back.collect()} == {("S1-1", "S2-4"), ("S1-1", "S3-9")}
 
 
+def test_bundle(spark, tmp_path):
+    import zipfile
+
+    rows = spark.createDataFrame([("S1-1", "S2-4,S3-9"), ("é", None)], "source1_entity_id string, matched_entity_ids string").coalesce(1)
+    tsv.write_bundle({"matches.tsv": rows, "none.tsv": rows.where("false")}, str(tmp_path / "out.zip"))
+    with zipfile.ZipFile(tmp_path / "out.zip") as z:
+        assert {n: z.read(n).decode() for n in z.namelist()} == {"matches.tsv": "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-4,S3-9\né\t\n", "none.tsv": "source1_entity_id\tmatched_entity_ids\n"}
+
+
+def test_calibration_is_monotone(spark):
+    from tessera.operators import alternatives
+
+    rows = [(c, i / 40, int((i * 7) % 40 < i)) for c in ("a", "b") for i in range(40)]
+    got = alternatives.calibrated(spark.createDataFrame(rows, "country string, p double, y int"), "country").collect()
+    for c in ("a", "b"):
+        own = [r.calibrated for r in sorted((r for r in got if r.country == c), key=lambda r: r.p)]
+        assert own == sorted(own) and len(own) == 40 and abs(sum(own) - sum(r.y for r in got if r.country == c)) < 1e-6
+
+
 def test_stage_runs_once(spark, tmp_path):
     made = []
 
