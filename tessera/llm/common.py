@@ -8,7 +8,7 @@ import types
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import delete, new_path, shared_dir
+from ..sources.scratch import discard, new_path  # noqa: F401
 
 #: White space in every contract: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,15 +36,6 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    base = shared_dir(spark).rpartition(":")[2]
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if base in folder:
-            delete(spark, folder)
-
-
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

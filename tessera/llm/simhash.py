@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, one_of_ties, table, text_bytes, written
-from .components import components
+from ..operators.components import components
+from .common import arrow_batches, discard, one_of_ties, table, text_bytes, written
 
 #: Fingerprints that the thresholds are fitted on; classes paired up in one bucket; bits that may differ.
 SAMPLE, BUCKET, REACH = 20_000, 64, 2
@@ -193,6 +193,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carr
     # Only classes that a link touches need another id than their own least.
     linked = written(named.join(roots.select("node"), F.col("fp") == F.col("node"), "left_semi").join(ids, "root").select("fp", "component_id"), "linked")
     final = written(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
+    for t in (classes, roots, linked):
+        discard(t)
     return rows.join(final, "fp")
 
 

@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import chat_format, components, factorisation, line_dedup, mixing, packing, quality_rules, registry, secret_scan, sharding, simhash
+from tessera.llm import chat_format, factorisation, line_dedup, mixing, packing, quality_rules, registry, secret_scan, sharding, simhash
+from tessera.operators import components
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
