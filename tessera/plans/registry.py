@@ -408,7 +408,19 @@ def tune_threshold(spark, d):
     return decide.tune_threshold(*scored(spark, d)).select("threshold", *r("f"))
 
 
-@query()
+def _successes(p: str) -> str:
+    """The chances of 0, 1, ... successes among independent trials of a list."""
+    return f"list_reduce(list_transform({p}, lambda x: [x]), lambda a, x: list_transform(range(1, len(a) + 2), lambda i: coalesce(a[i], 0) * (1 - x[1]) + CASE WHEN i > 1 THEN a[i - 1] * x[1] ELSE 0 END), [1.0::DOUBLE])"
+
+
+@query(f"""WITH {duck.SCORED}, top AS (SELECT s1, t, p FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, t) AS r FROM assigned WHERE p >= 0.02) WHERE r <= {decide.MAX_PER_S1}),
+  lists AS (SELECT s1, list(p ORDER BY p DESC, t) AS ps, list(t ORDER BY p DESC, t) AS ts FROM top GROUP BY s1),
+  ks AS (SELECT s1, ps, unnest(range(0, len(ps) + 1)) AS k FROM lists),
+  chances AS (SELECT s1, k, {_successes('ps[1:k]')} AS a, {_successes('ps[k + 1:]')} AS b FROM ks),
+  cells AS (SELECT s1, k, a, b, unnest(range(0, len(a))) AS i FROM chances), cells2 AS (SELECT s1, k, a[i + 1] AS x, b, i, unnest(range(0, len(b))) AS j FROM cells),
+  expected AS (SELECT s1, k, sum(x * b[j + 1] * CASE WHEN k = 0 AND i + j = 0 THEN 1.0 WHEN i > 0 THEN 1.25::DOUBLE * i / (0.25::DOUBLE * (i + j) + k) ELSE 0.0 END) AS v FROM cells2 GROUP BY ALL),
+  chosen AS (SELECT s1, min(k) AS k FROM (SELECT *, max(v) OVER (PARTITION BY s1) AS most FROM expected) WHERE v >= most - 1e-9 GROUP BY s1)
+  SELECT s1, unnest(ts[1:k]) AS t, round(unnest(ps[1:k]), 4) AS p FROM lists JOIN chosen USING (s1) WHERE k > 0""")
 def expected_f(spark, d):
     return decide.expected_f_select(scored(spark, d)[0]).select("s1", "t", *r("p"))
 
