@@ -38,6 +38,8 @@ HASH_BITS, LEVELS = 57, 64
 OFTEN = 19
 #: A byte for each rarity, whose CRC-32 begins with its six bits: the cheapest function from a byte to a number.
 SIGNS = [next(c for c in range(256) if zlib.crc32(bytes([c])) >> 26 == level) for level in range(LEVELS)]
+#: How many times fewer bits may differ in the first round, which need not find all.
+STRICT = 4 / 3
 #: Sets of so many words have prefixes longer by one for each so many words.
 LONG, LONGER = 96, 32
 FAST_MAP = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
@@ -90,7 +92,7 @@ def rarity(docs: DataFrame) -> Column:
     before = conf.get(FAST_MAP)
     conf.set(FAST_MAP, str(BUCKETS.bit_length() - 1))  # room for all buckets in the faster of a task's two tables
     try:
-        return by_bucket(counted.select("b", F.get(F.array(*map(F.lit, SIGNS)), level).alias("sign")), SIGNS[0])
+        return by_bucket(counted.where("n > 1").select("b", F.get(F.array(*map(F.lit, SIGNS)), level).alias("sign")), SIGNS[0])
     finally:
         conf.set(FAST_MAP, before)
 
@@ -127,10 +129,10 @@ def differ() -> Column:
     return F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
 
 
-def alike() -> Column:
-    """Whether a is an earlier class than b and passes the filter on bits."""
+def alike(strict: float = 1.0) -> Column:
+    """Whether a is an earlier class than b and passes the filter on bits; strict: how many times fewer bits may differ."""
     before = (F.col("a.id") < F.col("b.id")) | ((F.col("a.id") == F.col("b.id")) & (F.col("a.line") < F.col("b.line")))
-    return (differ() * (100 + SIMILARITY_PERCENT) <= (F.col("a.n") + F.col("b.n")) * (100 - SIMILARITY_PERCENT)) & before
+    return (differ() * int(strict * (100 + SIMILARITY_PERCENT)) <= (F.col("a.n") + F.col("b.n")) * (100 - SIMILARITY_PERCENT)) & before
 
 
 def confirmed(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -152,13 +154,19 @@ def matched(joined: DataFrame, least: Column, rows: DataFrame, every: bool = Tru
     nearest = found.groupBy("b_id", "b_line").agg(*[F.min_by(c, "apart").alias(c) for c in ("a_id", "a_line")])
     asked = found if every else written(nearest, "line-nearest")
     named = [asked.select(F.col(f"{x}_id").alias("id"), F.col(f"{x}_line").alias("line")) for x in "ab"]
-    wanted = named[0].unionByName(named[1]).groupBy("id").agg(F.collect_set("line").alias("wanted"))
-    some = plain(rows.hint("merge").join(wanted, "id"), "text", F.col("id"), F.col("wanted"))
-    numbered_lines = F.transform(F.split("body", "\n"), lambda body, line: F.struct(line.alias("line"), body.alias("body")))
-    asked_for = some.select("id", F.inline(F.filter(numbered_lines, lambda x: F.array_contains("wanted", x["line"]))))
+    wanted = named[0].unionByName(named[1])
+    if every:
+        # Texts are dealt out by id at every size; those that are wanted are looked up, so texts need no sorting.
+        by_id = wanted.groupBy("id").agg(F.collect_set("line").alias("wanted"))
+        some = plain(rows.join(by_id.hint("shuffle_hash"), "id"), "text", F.col("id"), F.col("wanted"))
+        numbered_lines = F.transform(F.split("body", "\n"), lambda body, line: F.struct(line.alias("line"), body.alias("body")))
+        asked_for = some.select("id", F.inline(F.filter(numbered_lines, lambda x: F.array_contains("wanted", x["line"]))))
+    else:
+        asked_for = lines_of(plain(rows.join(written(wanted.select("id").distinct(), "line-wanted"), "id", "left_semi"), "text", F.col("id")))
     words = written(asked_for.select("id", "line", hashes(F.col("body")).alias("words")), "line-words")
     first = confirmed(nearest if every else asked, words)
     if not every:
+        discard(words)
         return first
     rest = found.join(first.select(F.col("id").alias("b_id"), F.col("line").alias("b_line")), ["b_id", "b_line"], "left_anti")
     second = confirmed(rest, words)
@@ -170,9 +178,10 @@ def matched(joined: DataFrame, least: Column, rows: DataFrame, every: bool = Tru
 def removed_classes(found: DataFrame, rows: DataFrame) -> DataFrame:
     """id, line: classes whose first line matches an earlier line. rows: id, text."""
     often = F.lit(OFTEN << HASH_BITS)
-    frequent = prefixes(found).where(F.col("word") >= often)
+    frequent = written(prefixes(found).where(F.col("word") >= often).drop("room"), "line-frequent", "snappy")
     earliest = frequent.groupBy("word").agg(F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in ("line", "n", "bits")])
-    gone = matched(frequent.alias("b").join(earliest.alias("a"), (F.col("a.word") == F.col("b.word")) & alike()), F.lit(1), rows, every=False)
+    gone = matched(frequent.alias("b").join(earliest.alias("a"), (F.col("a.word") == F.col("b.word")) & alike(STRICT)), F.lit(1), rows, every=False)
+    discard(frequent)
     # Both sides are one table, so that they share a shuffle: the room of what is gone, negative, suffices in no b.
     flagged = found.join(gone.withColumn("gone", F.lit(True)), ["id", "line"], "left")
     index = prefixes(flagged, "gone").withColumn("room", F.when(F.col("gone"), -F.col("room")).otherwise(F.col("room"))).drop("gone")

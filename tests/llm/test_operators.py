@@ -185,6 +185,10 @@ def test_lines_by_brute_force(spark, texts):
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(40)]
     more = {10_000 + i: "\n".join(" ".join(r.sample(vocabulary[: r.choice([8, 14, 40])], r.randint(1, 8)) + r.choices(["x", "Y", "\tz"], k=2)) for _ in range(6)) for i in range(40)}
+    wide = [f"v{i}" for i in range(500)]
+    for i in range(40):  # long lines around the limit: every tenth is new, the others change up to a quarter of the one before
+        base = r.sample(wide, r.randint(90, 200)) if i % 10 == 0 else base
+        more[20_000 + i] = "\n".join(" ".join(r.sample(base, len(base) - r.randint(0, len(base) // 8)) + r.sample(wide, r.randint(0, len(base) // 8))) for _ in range(3))
     every = {**{k: v for k, v in [*texts.items()][:120]}, **more}
     seen, gone = [], defaultdict(list)
     for doc in sorted(every):
