@@ -137,8 +137,18 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """The rows that the mix takes, each as often as it is taken, with the columns of docs."""
-    rows = rows_of(docs, text, doc_id, source, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    out = taken_times(rows, mix_plan(rows.drop("doc"), weights, most)).where("copies > 0")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = rows_of(docs, text, doc_id, source)
+    plan = mix_plan(rows, weights, most)
+    if plan.where("tied IS NOT NULL").isEmpty():
+        # The threshold of a source is all that a row needs: docs are read as they are.
+        h = draw(F.col(f"`{doc_id}`").cast("string"), text_of(text))
+        rows = docs.select(doc, F.col(f"`{source}`").cast("string").alias("source"), h.alias("h"), F.lit(0).cast("long").alias("h2"))
+    else:
+        # Places must be the same for the plan and for the rows.
+        rows = rows_of(docs, text, doc_id, source, doc)
+        plan = mix_plan(rows.drop("doc"), weights, most)
+    out = taken_times(rows, plan).where("copies > 0")
     return out.select(F.explode(F.array_repeat("doc", F.col("copies"))).alias("doc")).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 

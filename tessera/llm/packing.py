@@ -41,7 +41,7 @@ from .common import arrow_batches, table, text_of, tokenizer_path, worker_cache,
 
 CAPACITY, CLOSING_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Entries in a worker's tables of known stretches and of words; a full table is emptied.
-CACHED_STRETCHES, CACHED_WORDS = 600_000, 600_000
+CACHED_STRETCHES, CACHED_WORDS = 250_000, 250_000
 #: Letters that the vocabulary's rules turn to lower case one by one and keep together, then marks that they keep together.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
