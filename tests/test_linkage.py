@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scripts
-from tessera.operators import decide, metrics, models, retrieve, vectors
+from tessera.operators import alternatives, decide, metrics, models, retrieve, vectors
 from tessera.plans import linkage, registry
 from tessera.sources import fixtures, stages, tsv
 
@@ -154,3 +154,16 @@ def test_streaming(spark, raw, tmp_path):
 
 def test_every_query_has_a_callable():
     assert {*registry.oracle_sql()} <= {*registry.queries()}
+
+
+def test_prefix_join_gives_copies_a_row_each(spark):
+    names = {**{f"S1-{i:03}": "blue ring bako" for i in range(40)}, **{f"S2-{i:03}": "bako ring blue" for i in range(40)}}
+    names |= {"S1-900": "blue ring", "S2-900": "blue bolt ring ring", "S3-900": "blue gear", "S3-901": "", "S3-902": None}
+    df = spark.createDataFrame([(k, "US", v) for k, v in names.items()], "entity_id string, country string, name string")
+    members, links = alternatives.prefix_join(df, F.filter(F.split("name", " "), lambda w: w != ""), ["country"])
+    of, rows = {r.entity_id: r.class_id for r in members.collect()}, links.collect()
+    assert len(of) == 83 and len(set(of.values())) == 4 and len(rows) <= 4 * 4
+    got = {(s1, t, round(r.jaccard, 6)) for r in rows for s1 in of if s1[1] == "1" and of[s1] == r.class_id for t in of if t[1] != "1" and of[t] == r.linked_id}
+    sets = {k: set(v.split()) for k, v in names.items() if v}
+    want = {(s1, t, round(len(sets[s1] & sets[t]) / len(sets[s1] | sets[t]), 6)) for s1 in sets if s1[1] == "1" for t in sets if t[1] != "1"}
+    assert got == {x for x in want if x[2] >= 0.5}
