@@ -167,3 +167,30 @@ def test_prefix_join_gives_copies_a_row_each(spark):
     sets = {k: set(v.split()) for k, v in names.items() if v}
     want = {(s1, t, round(len(sets[s1] & sets[t]) / len(sets[s1] | sets[t]), 6)) for s1 in sets if s1[1] == "1" for t in sets if t[1] != "1"}
     assert got == {x for x in want if x[2] >= 0.5}
+
+
+def test_retrieval_scores_copies_once(spark):
+    rows = [(f"S{src}-{k:04}", src, "US", "" if src > 1 and k % 10 == 9 else "nc", f"{'abcdefgh'[k % 8]}{'klmnop'[k % 6]}or{'uvwxyz'[k % 5]}an", f"elm {'pqrs'[k % 4]} road", str(k % 7)) for src, n in ((1, 120), (2, 240)) for k in range(n)]
+    rows += [(f"S{src}-9{k:03}", src, "US", "nc", "zzyzx", "elm p road", "77") for src, n in ((1, 20), (2, 30)) for k in range(n)]
+    df = spark.createDataFrame(rows, "entity_id string, src int, country string, block string, name_nospace string, addr string, addr_nums string").cache()
+    s1, targets, sizes = df.where("src = 1"), df.where("src > 1"), {}
+
+    def save(df, name):
+        sizes[name] = sizes.get(name, 0) + (df := df.cache()).count()
+        return df
+
+    got = retrieve.retrieve(s1, targets, save).cache()
+    scores, lost = retrieve.channel_scores(s1, targets).cache(), retrieve.fallback_scores(s1, targets).cache()
+    lists = [retrieve.top_k(scores, col, by, ks[c], f"{c}_{d}") for d, by, ks in (("fwd", "s1", retrieve.FORWARD), ("rev", "t", retrieve.REVERSE)) for c, col in retrieve.CHANNELS.items()]
+    same = retrieve.merged(lists, retrieve.RANKS).join(scores, ["s1", "t"])
+    best = retrieve.merged([retrieve.top_k(lost, "name_cos", "t", 2, "name_rev")], retrieve.RANKS).join(lost, ["s1", "t"])
+
+    def told(pairs, same_block):
+        pairs = pairs.withColumn("addr_cos", F.col("addr_cos") if same_block else F.lit(None).cast("double"))
+        return {tuple(r) for r in pairs.select("s1", "t", *retrieve.RANKS, F.round("name_cos", 6), F.round("addr_cos", 6)).collect()}
+
+    assert told(got.where("same_block"), True) == told(same, True) and told(got.where("NOT same_block"), False) == told(best, False)
+    assert got.where("same_block").count() and got.where("NOT same_block").count()
+    # The copies alone are 600 pairs of records, and one of classes.
+    assert scores.where("s1 LIKE 'S1-9%' AND t LIKE 'S2-9%' AND name_cos > 0.9").count() == 600
+    assert sizes["scores"] <= scores.count() - 599
