@@ -205,6 +205,34 @@ def test_lines_by_brute_force(spark, texts):
     assert all(cleaned[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in every.items())
 
 
+def test_large_groups_of_lines_and_small_plans(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    plans, early, write, remove = [], [], line_dedup.written, line_dedup.removed_early
+
+    def watched(df, *args, **options):
+        plans.append(len(df._jdf.queryExecution().toString()))
+        return write(df, *args, **options)
+
+    def removed(*args):
+        early.append(remove(*args))
+        return early[-1]
+
+    monkeypatch.setattr(line_dedup, "written", watched)
+    monkeypatch.setattr(line_dedup, "removed_early", removed)
+    r = random.Random(44)
+    base = [f"w{i}" for i in range(20)]
+    near = {i: " ".join(r.sample(base, 19)) + f" own{i}\n\n \t\n" + " ".join(r.sample(base, 6)) for i in range(60)} | {90: "\n\n", 91: None}
+    df = spark.createDataFrame([*near.items()], "doc_id long, text string")
+    plainly = {tuple(x) for x in line_dedup.line_dedup(df).select("doc_id", "n_lines", "n_removed", F.col("removed").cast("string")).collect()}
+    monkeypatch.setattr(line_dedup, "LARGE", 4)
+    monkeypatch.setattr(line_dedup, "OFTEN", 4)
+    assert {tuple(x) for x in line_dedup.line_dedup(df).select("doc_id", "n_lines", "n_removed", F.col("removed").cast("string")).collect()} == plainly
+    assert early[0] is None and early[1] is not None and not early[1].isEmpty()
+    assert (90, 3, 0, "[]") in plainly and (91, 1, 0, "[]") in plainly
+    assert max(plans) < 500_000  # the driver keeps many copies of a plan
+
+
 # 5
 
 
